@@ -29,6 +29,13 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), max_edit=0.2)
 
 
+@query
+def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.media import media_columns
+
+    return media_columns(table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.ngram_join import ngram_jaccard_join
