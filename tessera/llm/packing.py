@@ -75,21 +75,7 @@ class BytePairs:
 
     def kinds(self, data: np.ndarray) -> np.ndarray:
         """The class of the character to which each byte belongs."""
-        out = self.kind[data]
-        lead = np.flatnonzero(data >= 0xC0)
-        if len(lead):
-            d = data.astype(np.uint32) if len(lead) * 4 > len(data) else data
-            b0 = data[lead].astype(np.uint32)
-            for size, low, high, bits in ((2, 0xC0, 0xE0, 0x1F), (3, 0xE0, 0xF0, 0x0F), (4, 0xF0, 0xF8, 0x07)):
-                at = lead[(b0 >= low) & (b0 < high)]
-                if len(at):
-                    code = data[at].astype(np.uint32) & bits
-                    for k in range(1, size):
-                        code = (code << 6) | (d[at + k].astype(np.uint32) & 0x3F)
-                    of = self.kind[code]
-                    for k in range(size):
-                        out[at + k] = of
-        return out
+        return ragged.byte_classes(data, self.kind)
 
     def starts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Where the pre-tokens of PATTERN begin."""

@@ -39,6 +39,13 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
 
+@query
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.language import language_id
+
+    return language_id(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), sample=300)
+
+
 @query
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.decontaminate import find_leaks

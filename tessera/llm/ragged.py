@@ -118,6 +118,24 @@ def row_sums(values: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(rows, weights=values, minlength=n)
 
 
+def byte_classes(data: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """The class, by the table `of` over code points, of the character to which each byte belongs."""
+    out = of[data]
+    lead = np.flatnonzero(data >= 0xC0)
+    if len(lead):
+        b0 = data[lead]
+        for size, low, high, bits in ((2, 0xC0, 0xE0, 0x1F), (3, 0xE0, 0xF0, 0x0F), (4, 0xF0, 0xF8, 0x07)):
+            at = lead[(b0 >= low) & (b0 < high)]
+            if len(at):
+                code = data[at].astype(np.uint32) & np.uint32(bits)
+                for k in range(1, size):
+                    code = (code << np.uint32(6)) | (data[at + k].astype(np.uint32) & np.uint32(0x3F))
+                kind = of[code]
+                for k in range(size):
+                    out[at + k] = kind
+    return out
+
+
 class HashIndex:
     """A read-only map from uint64 keys to their positions, probed for whole arrays."""
 
