@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import stages
 
+#: (name, function of (spark, docs, sf_dir)), in order.
 STAGES = stages.STAGES
 
 #: SQL cannot express tokenising, edit distance or a trained language model; the stages are

@@ -207,47 +207,63 @@ def _held_out(id_col: str) -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
+class Scorer:
+    """Predictions for the texts of Arrow columns, with a bounded cache of words."""
+
+    def __init__(self, languages: list[str], pieces: list[str], p: np.ndarray):
+        self.languages, self.p, self.lattice = languages, p, Lattice(pieces)
+        self._reset()
+
+    def _reset(self) -> None:
+        self.known: dict[int, int] = {}
+        self.table = np.zeros((0, len(self.languages)))
+
+    def _words(self, raw: bytes, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The log-probabilities of distinct words."""
+        if len(self.known) > CACHE:
+            self._reset()
+        keys = values.tolist()
+        at = np.fromiter(map(self.known.get, keys, (-1,) * len(keys)), np.int64, len(keys))
+        if len(miss := np.flatnonzero(at < 0)):
+            words = [raw[a:z].decode().lower() for a, z in zip(starts[miss].tolist(), ends[miss].tolist(), strict=True)]
+            parts = [_stretches(w) for w in words]
+            size = np.fromiter(map(len, parts), np.int64, len(parts))
+            logs = np.add.reduceat(self.lattice.log_probability([s for x in parts for s in x], self.p), np.cumsum(size) - size, axis=0)
+            at[miss] = len(self.table) + np.arange(len(miss))
+            self.known.update(zip(values[miss].tolist(), at[miss].tolist(), strict=True))
+            self.table = np.concatenate([self.table, logs])
+        return self.table[at]
+
+    def __call__(self, column) -> tuple[list[str], list[float]]:
+        pred: list[str] = []
+        score: list[float] = []
+        for lo, hi, data, offsets in ragged.slices(column):
+            n = hi - lo
+            starts, ends = word_spans(data, offsets)
+            if not len(starts) or not self.languages:
+                pred += ["und"] * n
+                score += [0.0] * n
+                continue
+            codes, values, first = ragged.distinct(ragged.span_hash(data, starts, ends))
+            logs, row = self._words(data.tobytes(), values, starts[first], ends[first])[codes], ragged.rows_of(starts, offsets)
+            total = np.stack([ragged.row_sums(logs[:, k], row, n) for k in range(len(self.languages))], axis=1)
+            empty = np.bincount(row, minlength=n) == 0
+            weight = np.exp(total - total.max(axis=1, keepdims=True))
+            best = total.argmax(axis=1)
+            sure = weight[np.arange(n), best] / weight.sum(axis=1)
+            pred += ["und" if e else self.languages[k] for e, k in zip(empty.tolist(), best.tolist(), strict=True)]
+            score += np.where(empty, 0.0, sure).tolist()
+        return pred, score
+
+
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row; score is the language's posterior."""
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.pieces, model.p))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        languages, pieces, p = shared.value
-        lattice = Lattice(pieces)
-        known: dict[int, int] = {}
-        table = np.zeros((0, len(languages)))
+        scorer = Scorer(*shared.value)
         for b in it:
-            pred, score = [], []
-            for lo, hi, data, offsets in ragged.slices(b.column(1)):
-                n = hi - lo
-                starts, ends = word_spans(data, offsets)
-                if not len(starts) or not languages:
-                    pred += ["und"] * n
-                    score += [0.0] * n
-                    continue
-                codes, values, first = ragged.distinct(ragged.span_hash(data, starts, ends))
-                keys = values.tolist()
-                at = np.fromiter(map(known.get, keys, (-1,) * len(keys)), np.int64, len(keys))
-                if (at < 0).any() and len(known) > CACHE:
-                    known, table = {}, np.zeros((0, len(languages)))
-                    at[:] = -1
-                if len(miss := np.flatnonzero(at < 0)):
-                    raw = data.tobytes()
-                    words = [raw[a:z].decode().lower() for a, z in zip(starts[first[miss]].tolist(), ends[first[miss]].tolist(), strict=True)]
-                    parts = [_stretches(w) for w in words]
-                    size = np.fromiter(map(len, parts), np.int64, len(parts))
-                    logs = np.add.reduceat(lattice.log_probability([s for x in parts for s in x], p), np.cumsum(size) - size, axis=0)
-                    at[miss] = len(table) + np.arange(len(miss))
-                    known.update(zip(values[miss].tolist(), at[miss].tolist(), strict=True))
-                    table = np.concatenate([table, logs])
-                logs, row = table[at][codes], ragged.rows_of(starts, offsets)
-                total = np.stack([ragged.row_sums(logs[:, k], row, n) for k in range(len(languages))], axis=1)
-                empty = np.bincount(row, minlength=n) == 0
-                weight = np.exp(total - total.max(axis=1, keepdims=True))
-                best = total.argmax(axis=1)
-                sure = weight[np.arange(n), best] / weight.sum(axis=1)
-                pred += ["und" if e else languages[k] for e, k in zip(empty.tolist(), best.tolist(), strict=True)]
-                score += np.where(empty, 0.0, sure).tolist()
+            pred, score = scorer(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["id", "lang_pred", "score"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -255,5 +271,19 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return found.select(F.col("id").alias(id_col), _held_out("id").alias("held_out"), "lang_pred", "score")
 
 
+def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose language is identified, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.pieces, model.p))
+    at = docs.columns.index(text_col)
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(*shared.value)
+        for b in it:
+            pred, _ = scorer(b.column(at))
+            yield b.filter(pa.array([x != "und" for x in pred], pa.bool_()))
+
+    return docs.mapInArrow(batches, docs.schema)
+
+
 def language_id(docs: DataFrame, model_path: str, sample: int = 300, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     return predict(docs, train(docs, model_path, sample, id_col, text_col, lang_col), id_col, text_col)

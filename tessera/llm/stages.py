@@ -1,15 +1,69 @@
-"""The stages of the corpus pipeline."""
+"""The stages of the corpus pipeline: (spark, docs, sf_dir) -> DataFrame.
+
+Each works on every row that the stage before kept and, but for the last, returns the columns of
+documents. Null and empty texts have no language and go in the first stage. An empty table goes
+through all stages and gives an empty result.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from tessera.llm.queries import vocabulary
+from tessera.llm.shared import table, written
 
+BROADCAST_BYTES = 32 << 20
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tessera.llm.shared import table, written
 
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs but for these ids, which are broadcast only if their number is measured to be small."""
+    ids = written(ids.select("doc_id").distinct(), "dropped")
+    return docs.join(F.broadcast(ids) if ids.count() * 16 <= BROADCAST_BYTES else ids, "doc_id", "left_anti").select(docs.columns)
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts in which no language is identified go."""
+    from tessera.llm.language import keep_identified, train
+
+    return keep_identified(docs, train(docs, vocabulary("piece_bpe_32k.model"), sample=300))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id stays, once."""
+    from tessera.llm.ngram_join import ngram_jaccard_join
+
+    found = written(ngram_jaccard_join(docs, n=5, percent=80), "groups")
+    kept = _without(docs, found.where("doc_id <> component_id"))
+    repeated = not found.groupBy("doc_id").count().where("count > 1").isEmpty()
+    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    from tessera.llm.decontaminate import find_leaks
+
+    return _without(docs, find_leaks(docs, table(spark, sf_dir, "benchmark"), max_edit=0.2))
+
+
+def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind; n_chars follows the text."""
+    from tessera.llm.pii import redact_column
+
+    return redact_column(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents and their places in sequences of 1024 tokens."""
+    from tessera.llm.packing import pack
+
+    return pack(docs, vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"), capacity=1024, end_id=2)
+
+
+STAGES = [("language", identify_language), ("near_duplicates", drop_near_duplicates), ("decontamination", decontaminate), ("pii", redact_pii), ("packing", pack_sequences)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
