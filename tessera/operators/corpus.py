@@ -61,7 +61,7 @@ def contained(texts: DataFrame, aliases: DataFrame, anchor: int = 4) -> DataFram
 
 def prefix_pairs(short: DataFrame, long: DataFrame, width: int = 16) -> DataFrame:
     """(short_id, long_id) where the short text begins the long one. Both meet on their first `width`
-    characters; shorter texts on their whole length, for each length that occurs."""
+    characters; shorter texts are too little evidence and have no pairs."""
     s = short.select(F.col("id").alias("short_id"), F.col("text").alias("s")).where(F.length("s") >= width).withColumn("head", F.substring("s", 1, width))
     g = long.select(F.col("id").alias("long_id"), F.col("text").alias("g")).where(F.length("g") >= width).withColumn("head", F.substring("g", 1, width))
     return s.join(g, "head").where((F.col("short_id") != F.col("long_id")) & F.col("g").startswith(F.col("s"))).select("short_id", "long_id")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import upsert as U
+from tessera.operators.rules import remap_edges
 from tessera.plans.catalog import ORACLE, QUERIES, query
 from tessera.plans.tables import load
 from tessera.sources.projection import duckdb_graph, graph
@@ -86,12 +87,12 @@ def explorer_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph(spark, sf_dir).explore(["Customer", "Supplier", "Nation", "Region"], ["IN_NATION", "IN_REGION"], "C12").select("from_key", "rel_type", "to_key", "from_title", "to_title")
 
 
-@query(f"""{G}, kept AS (SELECT * FROM nodes WHERE NOT (label = 'Part' AND substr(business_key, 2)::BIGINT % 7 = 0)),
+@query(f"""{G}, kept AS (SELECT * FROM nodes WHERE NOT (label = 'Part' AND business_key IN (SELECT 'P' || p_partkey FROM part WHERE p_size > 40))),
 e AS (SELECT e.*, a.label IS NULL AS missing_from, b.label IS NULL AS missing_to FROM edges e LEFT JOIN kept a ON a.label = from_label AND a.business_key = from_key LEFT JOIN kept b ON b.label = to_label AND b.business_key = to_key)
 SELECT from_key, rel_type, to_key, missing_from, missing_to FROM e WHERE missing_from OR missing_to""")
 def dangling_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = graph(spark, sf_dir)
-    kept = g.nodes.where(~((F.col("label") == "Part") & (F.substring("business_key", 2, 20).cast("bigint") % 7 == 0)))
+    kept = g.nodes.where((F.col("label") != "Part") | (F.try_element_at("props", F.lit("p_size")).cast("int") <= 40))
     return U.dangling(g.edges, kept).select("from_key", "rel_type", "to_key", "missing_from", "missing_to")
 
 
@@ -102,14 +103,11 @@ def detach_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.detach_delete(g.nodes, g.edges, gone)[1].groupBy("rel_type").agg(F.count(F.lit(1)).alias("edges"))
 
 
-@query("""WITH m AS (SELECT n_nationkey AS k, 'N' || (n_nationkey % 5) AS new FROM nation WHERE n_nationkey >= 5)
-SELECT 'C' || c_custkey AS from_key, coalesce(new, 'N' || c_nationkey) AS to_key FROM customer LEFT JOIN m ON k = c_nationkey""")
+@query("SELECT 'C' || c_custkey AS from_key, 'N-' || r_name AS to_key FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey UNION ALL SELECT 'S' || s_suppkey, 'N-' || r_name FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey")
 def remap_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tessera.operators.rules import remap_edges
-
-    e = graph(spark, sf_dir).edges.where("rel_type = 'IN_NATION' AND from_label = 'Customer'")
-    n = load(spark, sf_dir, "nation").where("n_nationkey >= 5")
-    remap = n.select(F.lit("Nation").alias("label"), F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("old_key"), F.concat(F.lit("N"), (F.col("n_nationkey") % 5).cast("string")).alias("new_key"))
+    e = graph(spark, sf_dir).edges.where("rel_type = 'IN_NATION'")
+    n = load(spark, sf_dir, "nation").join(load(spark, sf_dir, "region"), F.expr("n_regionkey = r_regionkey"))
+    remap = n.select(F.lit("Nation").alias("label"), F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("old_key"), F.concat(F.lit("N-"), "r_name").alias("new_key"))
     return remap_edges(e, remap).select("from_key", "to_key")
 
 

@@ -73,30 +73,31 @@ def label_bars_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.withColumn("percent", F.round(100.0 * F.col("n") / F.max("n").over(Window.partitionBy()), 4))  # eight rows
 
 
-@query("""WITH new AS (SELECT c_custkey + 5 AS k, c_name || '*' AS name, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_acctbal + 1 END AS bal FROM customer WHERE c_custkey % 2 = 0)
+@query("""WITH new AS (SELECT c_custkey + 5 AS k, c_name || '*' AS name, CASE WHEN c_mktsegment <> 'BUILDING' THEN c_acctbal + 1 END AS bal FROM customer)
 SELECT coalesce(c_custkey, k) AS c_custkey, coalesce(name, c_name) AS c_name, round(coalesce(bal, c_acctbal), 2) AS c_acctbal, c_mktsegment FROM customer FULL JOIN new ON k = c_custkey""")
 def upsert_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = load(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
-    new = old.where("c_custkey % 2 = 0").select((F.col("c_custkey") + 5).alias("c_custkey"), F.concat("c_name", F.lit("*")).alias("c_name"), F.when(F.col("c_custkey") % 3 != 0, F.col("c_acctbal") + 1).alias("c_acctbal"))
+    new = old.select((F.col("c_custkey") + 5).alias("c_custkey"), F.concat("c_name", F.lit("*")).alias("c_name"), F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_acctbal") + 1).alias("c_acctbal"))
     return U.upsert(old, new, ["c_custkey"]).withColumn("c_acctbal", F.round("c_acctbal", 2))
 
 
-@query("""WITH old AS (SELECT 'C' || c_custkey AS business_key, c_mktsegment AS segment FROM customer WHERE c_custkey % 3 <> 0), new AS (SELECT 'C' || c_custkey AS business_key, c_name AS name FROM customer WHERE c_custkey % 2 = 0)
+@query("""WITH old AS (SELECT 'A' || c_custkey AS business_key, c_mktsegment AS segment FROM customer), new AS (SELECT 'A' || (s_suppkey * 3) AS business_key, s_name AS name FROM supplier)
 SELECT coalesce(o.business_key, n.business_key) AS business_key, segment, name, CASE WHEN o.business_key IS NULL THEN '2024-02-01' ELSE '2024-01-01' END AS created_on, CASE WHEN o.business_key IS NOT NULL AND n.business_key IS NOT NULL THEN '2024-02-01' END AS updated_on FROM old o FULL JOIN new n USING (business_key)""")
 def upsert_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = load(spark, sf_dir, "customer").withColumn("label", F.lit("Customer")).withColumn("business_key", F.concat(F.lit("C"), F.col("c_custkey").cast("string")))
     time = lambda t: F.lit(t).cast("timestamp_ntz")
-    old = c.where("c_custkey % 3 <> 0").select("label", "business_key", F.create_map(F.lit("segment"), "c_mktsegment").alias("props"), time("2024-01-01").alias("created_at"), time(None).alias("updated_at"))
-    new = c.where("c_custkey % 2 = 0").select("label", "business_key", F.create_map(F.lit("name"), "c_name").alias("props"), time("2024-02-01").alias("at"))
+    key = lambda c: F.concat(F.lit("A"), c.cast("string")).alias("business_key")
+    old = load(spark, sf_dir, "customer").select(F.lit("Account").alias("label"), key(F.col("c_custkey")), F.create_map(F.lit("segment"), "c_mktsegment").alias("props"), time("2024-01-01").alias("created_at"), time(None).alias("updated_at"))
+    new = load(spark, sf_dir, "supplier").select(F.lit("Account").alias("label"), key(F.col("s_suppkey") * 3), F.create_map(F.lit("name"), "s_name").alias("props"), time("2024-02-01").alias("at"))
     day = lambda x: F.date_format(x, "yyyy-MM-dd")
     return U.merge_nodes(old, new).select("business_key", F.try_element_at("props", F.lit("segment")).alias("segment"), F.try_element_at("props", F.lit("name")).alias("name"), day("created_at").alias("created_on"), day("updated_at").alias("updated_on"))
 
 
-@query("""WITH new AS (SELECT l_orderkey, l_linenumber + 1 AS l_linenumber, max(l_quantity) AS l_quantity FROM lineitem WHERE l_orderkey % 4 = 0 GROUP BY ALL), old AS (SELECT l_orderkey, l_linenumber, max(l_quantity) AS l_quantity FROM lineitem GROUP BY ALL)
-SELECT * FROM old WHERE l_orderkey % 4 <> 0 UNION ALL SELECT * FROM new""")
+@query("""WITH old AS (SELECT l_orderkey, l_linenumber, max(l_quantity) AS l_quantity FROM lineitem GROUP BY ALL), new AS (SELECT l_orderkey, l_linenumber + 1 AS l_linenumber, l_quantity FROM old JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus = 'P')
+SELECT * FROM old WHERE l_orderkey NOT IN (SELECT l_orderkey FROM new) UNION ALL SELECT * FROM new""")
 def replace_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = load(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("l_quantity"))
-    new = old.where("l_orderkey % 4 = 0").withColumn("l_linenumber", F.col("l_linenumber") + 1)
+    again = load(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("l_orderkey"))
+    new = old.join(again, "l_orderkey", "left_semi").withColumn("l_linenumber", F.col("l_linenumber") + 1)
     return U.replace_children(old, new, "l_orderkey", ["l_orderkey", "l_linenumber"])
 
 

@@ -51,7 +51,7 @@ def search_merged_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.merged(_entities(spark, sf_dir), _chunks(spark, sf_dir), 40)
 
 
-@query("""WITH a AS (SELECT doc_id AS id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents QUALIFY rank <= 50), b AS (SELECT doc_id AS id, row_number() OVER (ORDER BY n_chars % 97, doc_id) AS rank FROM documents QUALIFY rank <= 50)
+@query("""WITH a AS (SELECT doc_id AS id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents QUALIFY rank <= 50), b AS (SELECT doc_id AS id, row_number() OVER (ORDER BY n_chars, doc_id) AS rank FROM documents QUALIFY rank <= 50)
 SELECT id, round(sum(1.0 / (60 + rank)), 9) AS fused FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY id""")
 def rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = load(spark, sf_dir, "documents").select("doc_id", "n_chars")
@@ -60,7 +60,7 @@ def rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
         top = d.orderBy(*order).limit(50).agg(F.collect_list("doc_id").alias("ids"))  # a top-50 list
         return top.select(F.posexplode("ids").alias("pos", "id")).select("id", (F.col("pos") + 1).alias("rank"))
 
-    return Q.fused([ranked(F.desc("n_chars"), "doc_id"), ranked(F.col("n_chars") % 97, "doc_id")])
+    return Q.fused([ranked(F.desc("n_chars"), "doc_id"), ranked("n_chars", "doc_id")])
 
 
 @query("SELECT sha256(text) AS sha256, min(doc_id) AS doc_id, count(*) AS uploads FROM documents GROUP BY 1")
@@ -68,16 +68,16 @@ def sha256_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("sha256")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("uploads"))
 
 
-@query("WITH r AS (SELECT doc_id, 'see fs_' || source || '-' || doc_id || ' for ' || substr(text, 1, 50) AS t FROM documents) SELECT doc_id, nullif(upper(replace(regexp_extract(substr(t, 1, 2000), '(?i)(?:FS|8D|RPT)[-_]?[A-Z0-9][A-Z0-9\\-_/]{3,}', 0), '_', '-')), '') AS report_id FROM r")
+@query("WITH r AS (SELECT doc_id, 'see fs_' || source || '-' || doc_id || ' for ' || text AS t FROM documents) SELECT doc_id, nullif(upper(replace(regexp_extract(substr(t, 1, 2000), '(?i)(?:FS|8D|RPT)[-_]?[A-Z0-9][A-Z0-9\\-_/]{3,}', 0), '_', '-')), '') AS report_id FROM r")
 def report_id_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.concat(F.lit("see fs_"), "source", F.lit("-"), F.col("doc_id").cast("string"), F.lit(" for "), F.substring("text", 1, 50))
+    t = F.concat(F.lit("see fs_"), "source", F.lit("-"), F.col("doc_id").cast("string"), F.lit(" for "), "text")
     return load(spark, sf_dir, "documents").select("doc_id", T.report_id(t).alias("report_id"))
 
 
-@query("SELECT p_partkey, try_cast(nullif(regexp_extract(t, '(\\d+(?:\\.\\d+)?)\\s*(pcs?|件|个)?', 1, 'i'), '') AS DOUBLE) AS value, nullif(lower(regexp_extract(t, '(\\d+(?:\\.\\d+)?)\\s*(pcs?|件|个)?', 2, 'i')), '') AS unit FROM (SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN p_size || ' PCS' WHEN p_size % 3 = 1 THEN 'x' || p_size || '.5件' ELSE 'none' END AS t FROM part)")
+@query("SELECT p_partkey, try_cast(nullif(regexp_extract(t, '(\\d+(?:\\.\\d+)?)\\s*(pcs?|件|个)?', 1, 'i'), '') AS DOUBLE) AS value, nullif(lower(regexp_extract(t, '(\\d+(?:\\.\\d+)?)\\s*(pcs?|件|个)?', 2, 'i')), '') AS unit FROM (SELECT p_partkey, CASE WHEN p_size < 15 THEN p_size || ' PCS' WHEN p_size < 30 THEN 'x' || p_size || '.5件' ELSE 'none' END AS t FROM part)")
 def parse_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.col("p_size").cast("string")
-    t = F.when(F.col("p_size") % 3 == 0, F.concat(size, F.lit(" PCS"))).when(F.col("p_size") % 3 == 1, F.concat(F.lit("x"), size, F.lit(".5件"))).otherwise("none")
+    t = F.when(F.col("p_size") < 15, F.concat(size, F.lit(" PCS"))).when(F.col("p_size") < 30, F.concat(F.lit("x"), size, F.lit(".5件"))).otherwise("none")
     p = load(spark, sf_dir, "part").select("p_partkey", t.alias("t"))
     return p.select("p_partkey", T.amount_value(F.col("t")).alias("value"), T.amount_unit(F.col("t")).alias("unit"))
 
@@ -112,12 +112,11 @@ def alias_contains_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.contained(load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("alias_id"), "text"))
 
 
-@query("""WITH s AS (SELECT min(doc_id) AS id, left(text, 40) AS t FROM documents GROUP BY 2 HAVING length(t) >= 16), g AS (SELECT min(doc_id) AS id, text FROM documents GROUP BY text HAVING length(text) >= 16)
-SELECT s.id AS short_id, g.id AS long_id FROM s JOIN g ON starts_with(g.text, s.t) AND s.id <> g.id""")
+@query("""WITH g AS (SELECT min(doc_id) AS id, text FROM documents GROUP BY text HAVING length(text) >= 16)
+SELECT s.id AS short_id, g.id AS long_id FROM g s JOIN g ON starts_with(g.text, s.text) AND s.id <> g.id""")
 def prefix_theta_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = load(spark, sf_dir, "documents")
-    once = lambda c: d.groupBy(c.alias("text")).agg(F.min("doc_id").alias("id"))
-    return C.prefix_pairs(once(F.substring("text", 1, 40)), once(F.col("text")))
+    once = load(spark, sf_dir, "documents").groupBy("text").agg(F.min("doc_id").alias("id"))
+    return C.prefix_pairs(once, once)
 
 
 @query("SELECT conv_id, count(*) AS turns, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS body, array_to_string(list_sort(list(DISTINCT role)), ',') AS roles FROM conversations GROUP BY conv_id")
