@@ -10,13 +10,15 @@ of the prefixes. A set's prefix is its first n - ceil(t n) + 1 shingles, so link
 a prefix shingle.
 
 Index. Prefix postings (shingle, document, size, position) are dealt by shingle as packed
-arrays; those of shingles in one document only, the great majority, end there.
+arrays; those of shingles in one document only, the great majority, end there. Of lists with the
+same members one stays. Pairs are first held against each other by parity bit maps, which bound
+the number of elements that are not common; texts are compared only for pairs that pass.
 
 Skipping by answers. In each list a pivot is compared with the others. Its answers all lie in
 one component, so pairs among them need no comparison: what is left are lists with several
 components. Where x and y have known distances to their list's pivot, |d(x) - d(y)| > 1 - t
 rules the pair out (the Jaccard distance is a metric). Rounds with other pivots follow while
-lists stay mixed.
+the mixed lists' pairs are many for their members.
 
 Skipping by position. Lists that are still mixed are cut into blocks by position. Two blocks
 whose sizes and positions bound the overlap below what is needed are skipped whole; the rest
@@ -40,12 +42,15 @@ from tessera.llm import ragged
 from tessera.llm.components import components
 from tessera.llm.shared import text_rows, written
 
-HOT = 200_000
-CHUNK = 2_000_000
-OFTEN = 4
+HOT = 500_000
+CHUNK = 4_000_000
+OFTEN = 2
 BUCKET = 400_000
 BLOCK = 16
 ROUNDS = 3
+SPREAD = 16
+BITS = 1024
+BROADCAST_BYTES = 32 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -84,7 +89,15 @@ def _prints(s: np.ndarray) -> tuple[int, int]:
     return int(np.add.reduce(a).astype(np.int64)), int(np.bitwise_xor.reduce(ragged.mix(a)).astype(np.int64))
 
 
-SETS = "id bigint, n bigint, fp1 bigint, fp2 bigint, shingle bigint, times bigint"
+SETS = "id bigint, n bigint, fp1 bigint, fp2 bigint, parity array<bigint>, shingle bigint, times bigint"
+SET_NAMES = ["id", "n", "fp1", "fp2", "parity", "shingle", "times"]
+
+
+def parity(s: np.ndarray) -> np.ndarray:
+    """A bit map of a set: bit h mod BITS is set if an odd number of its hashes h fall on it. Two
+    sets' maps differ in at most as many bits as the sets have elements that are not common."""
+    odd = np.bincount((s % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def _sets(rows: DataFrame, n: int) -> DataFrame:
@@ -100,14 +113,14 @@ def _sets(rows: DataFrame, n: int) -> DataFrame:
             keep = times >= OFTEN
             s, t = every[head[keep]].view(np.int64), times[keep]
             none = pa.nulls(len(s), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(s), pa.array(t)], ["id", "n", "fp1", "fp2", "shingle", "times"])
+            return pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(s), pa.list_(pa.int64())), pa.array(s), pa.array(t)], SET_NAMES)
 
         for b in it:
             for lo, hi, data, offsets in ragged.slices(b.column(1)):
                 sets = shingle_sets(data, offsets, n)
                 prints = [_prints(s) if len(s) else (0, 0) for s in sets]
                 none = pa.nulls(hi - lo, pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()), none, none], ["id", "n", "fp1", "fp2", "shingle", "times"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()), pa.array([parity(s) for s in sets], pa.list_(pa.int64())), none, none], SET_NAMES)
                 for s, p in zip(sets, prints, strict=True):
                     if len(s) and p not in seen:
                         seen.add(p)
@@ -209,8 +222,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
             c = [pa.array([x[k] for x in out], pa.int64()) for k in range(3)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *c], ["a", "b", "common", "n_a", "n_b"])
 
-    b_side = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    a_side = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
+    needed = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "needed")
+    few = needed.count() * 16 <= BROADCAST_BYTES
+    kept = written(texts.join(F.broadcast(needed) if few else needed, "id", "left_semi"), "texts")
+    b_side = kept.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
+    a_side = kept.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     full = pairs.select("a", "b").join(b_side, "b").join(a_side, "a").select("a", "b", "text_a", "text_b")
     return full.mapInArrow(batches, "a bigint, b bigint, common bigint, n_a bigint, n_b bigint")
 
@@ -236,39 +252,66 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     by = np.argsort(shingle)
     rank = np.empty(len(by), np.int32)
     rank[np.lexsort((shingle, times))] = np.arange(len(by))
-    classes = written(sets.where("n > 0").groupBy("n", "fp1", "fp2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
+    classes = found.where("n > 0").groupBy("n", "fp1", "fp2").agg(F.min("id").alias("rep"), F.first("parity").alias("parity"))
+    classes = written(classes, "classes")
     total = classes.agg(F.sum("n")).first()[0] or 0
     buckets = max(8, -(-total * (100 - percent) // 100 // BUCKET))
-    reps = classes.select(F.col("rep").alias("id"))
-    texts = rows.join(reps, "id", "left_semi")
-    lists = written(_postings(texts, n, percent, shingle[by], rank[by], buckets), "lists")
-    needed = lists.select("id").distinct()
-    kept = written(rows.join(needed, "id", "left_semi"), "texts")
+    texts = _representatives(rows, sets, classes)
+    lists = written(_one_of_equal(_postings(texts, n, percent, shingle[by], rank[by], buckets)), "lists")
 
-    tested = comp = None
+    tested = comp = far = None
     for turn in range(ROUNDS + 1):
-        now = lists if comp is None else lists.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        if comp is None:
-            now = now.withColumn("component", F.col("id"))
-        else:  # lists of one component have no more pairs to give
-            mixed = now.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("shingle")
-            now = written(now.join(written(mixed, "mixed"), "shingle", "left_semi"), "mixed-lists")
-            if now.isEmpty():
-                break
-        if turn < ROUNDS:
-            pairs = _star(now, turn, percent)
-        else:
-            pairs = _cross(now, tested, percent)
+        now = lists.withColumn("component", F.col("id")) if comp is None else lists.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        # lists of one component have no more pairs to give
+        size = now.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo < hi")
+        size = written(size.select("shingle", "members"), "mixed")
+        members, pairs_at_most = size.agg(F.sum("members"), F.sum(F.col("members").cast("double") ** 2)).first()
+        if not members:
+            break
+        now = written(now.join(size.select("shingle"), "shingle", "left_semi"), "mixed-lists") if comp is not None else now
+        last = turn == ROUNDS or pairs_at_most <= SPREAD * members
+        pairs = _cross(now, tested, far, classes, percent) if last else _star(now, turn, percent)
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        new = written(_verified(written(pairs, "pairs"), kept, n), "tested")
+        bounded = written(_bounded(written(pairs, "pairs"), classes, percent), "bounded")
+        new = written(_verified(bounded.where("may_link"), rows, n), "tested")
+        far = far or bounded.where("NOT may_link").select("a", "b", F.col("least_d").alias("lo"))
         tested = new if tested is None else tested.unionByName(new)
-        links = tested.where(f"100 * common >= {percent} * (n_a + n_b - common)").select("a", "b")
-        comp = components(links)
+        comp = components(tested.where(f"100 * common >= {percent} * (n_a + n_b - common)").select("a", "b"))
+        if last:
+            break
     out = _members(sets, classes, comp)
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"))
 
 
+def _representatives(rows: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """One text of each class: without the ids that represent none. These are broadcast only if
+    their number is measured to be small; otherwise both sides are shuffled."""
+    other = sets.where("n > 0").select("id").distinct().join(classes.select(F.col("rep").alias("id")), "id", "left_anti")
+    other = written(other, "copies")
+    return rows.join(F.broadcast(other) if other.count() * 16 <= BROADCAST_BYTES else other, "id", "left_anti")
+
+
+def _one_of_equal(lists: DataFrame) -> DataFrame:
+    """Lists with the same members give the same pairs: one of them stays. Members are told apart
+    by count and two 64-bit sums of their hashes."""
+    lists = written(lists, "postings")
+    of = lists.groupBy("shingle").agg(F.count(F.lit(1)).alias("members"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
+    one = written(of.groupBy("members", "x", "y").agg(F.min("shingle").alias("shingle")).select("shingle"), "chosen")
+    return lists.join(one, "shingle", "left_semi")
+
+
+def _bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(a, b, may_link, least_d): whether the parity maps, which bound the number of elements that
+    are not common, still allow a link, and how far apart the sets are at least."""
+    of = classes.select(F.col("rep").alias("id"), "n", "parity")
+    a = of.select(F.col("id").alias("a"), F.col("n").alias("m_a"), F.col("parity").alias("p_a"))
+    b = of.select(F.col("id").alias("b"), F.col("n").alias("m_b"), F.col("parity").alias("p_b"))
+    met = pairs.select("a", "b").join(a, "a").join(b, "b").withColumn("differ", F.expr("aggregate(zip_with(p_a, p_b, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"))
+    may = F.expr(f"(100 + {percent}) * differ <= (100 - {percent}) * (m_a + m_b)")
+    return met.groupBy("a", "b").agg(F.max(may).alias("may_link"), F.min(F.expr("2 * differ / (m_a + m_b + differ)")).alias("least_d"))
+
+
 def _members(sets: DataFrame, classes: DataFrame, linked: DataFrame | None) -> DataFrame:
     """(id, n, rep, component) of every row: classes get their components, rows their classes."""
     of = classes.select("n", "fp1", "fp2", "rep")
@@ -286,13 +329,21 @@ def _star(lists: DataFrame, turn: int, percent: int) -> DataFrame:
     return met.select(F.least("id", "p_id").alias("a"), F.greatest("id", "p_id").alias("b")).distinct()
 
 
-def _cross(lists: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a < b) of different components in each list, blocks of positions first."""
+def _cross(lists: DataFrame, tested: DataFrame | None, far: DataFrame | None, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a < b) of different components in each list, blocks of positions first. Postings carry
+    their sets' parity maps, so that the join itself drops pairs that cannot link."""
     pivot = lists.groupBy("shingle").agg(F.min("id").alias("p_id"))
-    near = tested.select("a", "b", (1 - F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))).alias("d"))
-    near = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")).select(F.col("a").alias("p_id"), F.col("b").alias("id"), "d")
+    d = 1 - F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))
+    known = lists.limit(0).selectExpr("id AS a", "id AS b", "0D AS lo", "0D AS hi")
+    if tested is not None:
+        known = known.unionByName(tested.select("a", "b", d.alias("lo"), d.alias("hi"))).unionByName(far.withColumn("hi", F.lit(1.0)))
+    known = known.groupBy("a", "b").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    near = known.select(F.col("a").alias("p_id"), F.col("b").alias("id"), "lo", "hi").unionByName(known.select(F.col("b").alias("p_id"), F.col("a").alias("id"), "lo", "hi"))
     own = lists.join(written(pivot, "pivots"), "shingle").join(near, ["p_id", "id"], "left").withColumn("blk", F.floor(F.col("pos") / BLOCK))
-    own = written(own.select("shingle", "id", "n", "pos", "component", "d", "blk"), "blocks")
+    maps = classes.groupBy(F.col("rep").alias("id")).agg(F.first("parity").alias("parity"))
+    own = own.join(maps, "id")
+    words = [f"p{k}" for k in range(BITS // 64)]
+    own = written(own.select(*(F.col("parity")[k].alias(w) for k, w in enumerate(words)), "shingle", "id", "n", "pos", "component", F.coalesce("lo", F.lit(0.0)).alias("lo"), F.when(F.col("id") == F.col("p_id"), 0.0).otherwise(F.coalesce("hi", F.lit(1.0))).alias("hi"), "blk"), "blocks")
     blocks = written(own.groupBy("shingle", "blk").agg(F.min("n").alias("n_lo"), F.max("n").alias("n_hi"), F.min("component").alias("c_lo"), F.max("component").alias("c_hi")), "block-index")
     x, y = blocks.alias("x"), blocks.alias("y")
     # the overlap is at most the last place of the lower block + 1 + what can follow of the smaller set
@@ -300,10 +351,12 @@ def _cross(lists: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
     smaller = "greatest(x.n_lo, y.n_lo)"
     met = x.join(y, F.expr("x.shingle = y.shingle AND x.blk <= y.blk")).where("NOT (x.c_lo = y.c_hi AND x.c_hi = y.c_lo)").where(f"100 * least({reach}, x.n_hi, y.n_hi) >= {percent} * {smaller}")
     met = met.select(F.col("x.shingle").alias("shingle"), F.col("x.blk").alias("x_blk"), F.col("y.blk").alias("y_blk"))
-    left = own.select("shingle", F.col("blk").alias("x_blk"), *(F.col(c).alias(f"x_{c}") for c in ("id", "n", "pos", "component", "d")))
-    right = own.select("shingle", F.col("blk").alias("y_blk"), *(F.col(c).alias(f"y_{c}") for c in ("id", "n", "pos", "component", "d")))
+    left = own.select("shingle", F.col("blk").alias("x_blk"), *(F.col(c).alias(f"x_{c}") for c in ("id", "n", "pos", "component", "lo", "hi", *words)))
+    right = own.select("shingle", F.col("blk").alias("y_blk"), *(F.col(c).alias(f"y_{c}") for c in ("id", "n", "pos", "component", "lo", "hi", *words)))
     pairs = left.join(met, ["shingle", "x_blk"]).join(right, ["shingle", "y_blk"])
     bound = "least(x_pos, y_pos) + 1 + least(x_n - x_pos - 1, y_n - y_pos - 1)"
     pairs = pairs.where("x_component <> y_component").where("x_blk < y_blk OR x_id < y_id").where(_can_link(percent, "x_n", "y_n", bound))
-    pairs = pairs.where(f"x_d IS NULL OR y_d IS NULL OR abs(x_d - y_d) <= {100 - percent} / 100D + 1e-9")
+    pairs = pairs.where(f"greatest(x_lo - y_hi, y_lo - x_hi) <= {100 - percent} / 100D + 1e-9")
+    differ = " + ".join(f"bit_count(x_{w} ^ y_{w})" for w in words)
+    pairs = pairs.where(f"(100 + {percent}) * ({differ}) <= (100 - {percent}) * (x_n + y_n)")
     return pairs.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()

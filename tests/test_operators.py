@@ -107,3 +107,31 @@ def test_streams(spark, tmp_path):
     merge(spark.createDataFrame([(1, "b"), (2, "c")], "k int, v string"), 1)
     merge(spark.createDataFrame([(1, "b"), (2, "c")], "k int, v string"), 1)
     assert {tuple(r) for r in spark.read.parquet(f"{versions}/v=1").collect()} == {(1, "b"), (2, "c")}
+
+
+def test_unknown_chunks_give_way(spark):
+    from tessera.operators import chunks as K
+
+    text = "a text that is long enough to meet"
+    chunks = spark.createDataFrame([("UNKNOWN#1", "UNKNOWN", text), ("FS-1#1", "FS-1", text + " and more"), ("UNKNOWN#2", "UNKNOWN", "something else entirely here")], "chunk_id string, report_id string, text string")
+    mentions = spark.createDataFrame([("A", "UNKNOWN#1"), ("A", "FS-1#1"), ("B", "UNKNOWN#2")], "from_key string, to_key string")
+    m, c = K.reconciled(mentions, chunks)
+    assert {tuple(r) for r in m.collect()} == {("A", "FS-1#1"), ("B", "UNKNOWN#2")} and {r.chunk_id for r in c.collect()} == {"FS-1#1", "UNKNOWN#2"}
+
+
+def test_stages_are_recorded(spark, tmp_path):
+    import pytest
+
+    from tessera.operators.stages import run_stages
+
+    def write(df, name):
+        df.write.mode("overwrite").parquet(f"{tmp_path}/{name}")
+        return spark.read.parquet(f"{tmp_path}/{name}")
+
+    def broken(df):
+        raise ValueError("no")
+
+    out, metrics = run_stages(spark.range(10), [("odd", lambda d: d.where("id % 2 = 1")), ("broken", broken), ("more", lambda d: d.where("id > 3"))], write, fail_fast=False)
+    assert out.count() == 3 and [m["rows"] for m in metrics] == [5, None, 3] and "ValueError" in metrics[1]["error"]
+    with pytest.raises(RuntimeError):
+        run_stages(spark.range(1), [("broken", broken)], write)
