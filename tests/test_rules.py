@@ -90,3 +90,23 @@ def test_severity_needs_evidence(spark):
     ev = spark.createDataFrame([(1, "a", "A级"), (2, "b", "B级"), (3, "c", "x" * 30)], "doc int, key string, severity string")
     tx = spark.createDataFrame([(1, "严重等级 A级"), (2, "B级 only"), (3, "等级 " + "x" * 30)], "doc int, text string")
     assert {(r.doc, r.severity) for r in R.severity_gate(ev, tx).collect()} == {(1, "A级"), (2, None), (3, None)}
+
+
+def test_relation_records(spark):
+    raw = [
+        (1, {"source_label": " EightDReport", "start_bk": "R", "end_label": "CauseItem", "dst_key": "C", "relationship_type": "direct_cause"}),
+        (2, {"from_label": "CauseItem", "from_key": "C", "to_label": "Chunk", "to_key": "K", "rel": "mentioned_in"}),
+        (3, {"from_label": "CauseItem", "from_key": "C", "to_label": "EightDReport", "to_key": "R", "rel_type": "ROOT_CAUSE"}),
+        (4, {"from_label": "EightDReport", "from_key": "R", "to_label": "CauseItem", "to_key": "", "rel_type": "ROOT_CAUSE"}),
+        (5, None),
+    ]
+    got = {tuple(r) for r in R.relations(spark.createDataFrame(raw, "doc int, fields map<string,string>")).collect()}
+    assert got == {(1, "EightDReport", "R", "ROOT_CAUSE", "CauseItem", "C"), (2, "CauseItem", "C", "MENTIONED_IN", "Chunk", "K")}
+
+
+def test_owners_need_evidence(spark):
+    reports = spark.createDataFrame([(1, "R1", "质量部", ["nothing"]), (2, "R2", "质量部", ["责任部门: 质量部"]), (3, "R3", "王明", None), (4, "R4", None, ["owner"])], "doc int, key string, owner_name string, texts array<string>")
+    orgs = spark.createDataFrame([(1, "Q", "质量部"), (2, "Q", "质量部"), (2, "Z", "采购部")], "doc int, key string, name string")
+    assert {(r.doc, r.owner_name) for r in R.owner_gate(reports, orgs).collect()} == {(1, None), (2, "质量部"), (3, "王明"), (4, None)}
+    edges = spark.createDataFrame([(1, "EightDReport", "R1", "RESPONSIBLE_ORG", "Organization", "Q"), (2, "EightDReport", "R2", "RESPONSIBLE_ORG", "Organization", "Q"), (2, "EightDReport", "R2", "RESPONSIBLE_ORG", "Organization", "Z"), (2, "EightDReport", "R2", "ROOT_CAUSE", "CauseItem", "C")], "doc int, from_label string, from_key string, rel_type string, to_label string, to_key string")
+    assert {r.to_key for r in R.report_org_edges({"reports": reports, "orgs": orgs}, edges).collect()} == {"Q", "C"}
