@@ -156,18 +156,19 @@ def ordered_prefix(s: np.ndarray, hot: np.ndarray, rank: np.ndarray, percent: in
 PACKED = "bucket bigint, shingles binary, ids binary, sizes binary, places binary, listed binary"
 
 
-def _postings(texts: DataFrame, n: int, percent: int, hot: np.ndarray, rank: np.ndarray, buckets: int) -> DataFrame:
-    """(shingle, id, n, pos) of the prefix postings of shingles that at least two texts hold.
-
-    A task packs the postings of a slice of texts by bucket. Of a shingle that several texts of
-    the slice hold, all postings go to a bucket of the slice's own, which only unpacks them, and
-    one goes to the shingle's bucket: there no list has more entries than there are slices.
+def _packed(texts: DataFrame, n: int, percent: int, hot: np.ndarray, rank: np.ndarray, buckets: int) -> DataFrame:
+    """The prefix postings of slices of texts, by bucket.
+
+    Of a shingle that several texts of a slice hold, all postings go to a bucket of the slice's
+    own, which only unpacks them, and one goes to the shingle's bucket: there no list has more
+    entries than there are slices. A task that is run again must give the same slices and buckets,
+    as some readers may have the first run's: texts are sorted in each task, whatever order a
+    shuffle delivered them in, and a slice's bucket is a hash of its first id.
     """
     shared = texts.sparkSession.sparkContext.broadcast((hot, rank))
 
     def pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, rank = shared.value
-        spread = np.random.RandomState()
         for b in it:
             ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for lo, _hi, data, offsets in ragged.slices(b.column(1), 4 << 20):
@@ -185,7 +186,8 @@ def _postings(texts: DataFrame, n: int, percent: int, hot: np.ndarray, rank: np.
                 first = np.r_[True, h[1:] != h[:-1]]
                 head = np.flatnonzero(first)
                 many = np.repeat(np.diff(np.r_[head, len(h)]) > 1, np.diff(np.r_[head, len(h)]))
-                out = [(-1 - int(spread.randint(buckets)), np.flatnonzero(many))] if many.any() else []
+                mine = int(ragged.mix(ids[lo : lo + 1].view(np.uint64))[0] % np.uint64(buckets))
+                out = [(-1 - mine, np.flatnonzero(many))] if many.any() else []
                 bucket = (ragged.mix(h[head]) % np.uint64(buckets)).astype(np.int64)
                 by = np.argsort(bucket, kind="stable")
                 cut = np.flatnonzero(np.r_[True, bucket[by][1:] != bucket[by][:-1]])
@@ -193,6 +195,12 @@ def _postings(texts: DataFrame, n: int, percent: int, hot: np.ndarray, rank: np.
                 cols = [(h, np.uint64), (doc, np.int64), (total, np.int32), (place, np.int32), (many, np.uint8)]
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), *(pa.array([c[i].astype(t).tobytes() for _, i in out], pa.binary()) for c, t in cols)], ["bucket", "shingles", "ids", "sizes", "places", "listed"])
 
+    return texts.sortWithinPartitions("id", "text").mapInArrow(pack, PACKED)
+
+
+def _postings(texts: DataFrame, n: int, percent: int, hot: np.ndarray, rank: np.ndarray, buckets: int) -> DataFrame:
+    """(shingle, id, n, pos) of the prefix postings of shingles that at least two texts hold."""
+
     def unpack(key: tuple, t: pa.Table) -> pa.Table:
         h, doc, total, place, listed = (np.frombuffer(b"".join(t.column(c).to_pylist()), kind) for c, kind in (("shingles", np.uint64), ("ids", np.int64), ("sizes", np.int32), ("places", np.int32), ("listed", np.uint8)))
         if key[0].as_py() >= 0:
@@ -204,7 +212,7 @@ def _postings(texts: DataFrame, n: int, percent: int, hot: np.ndarray, rank: np.
             h, doc, total, place = h[keep], doc[keep], total[keep], place[keep]
         return pa.table([pa.array(h.view(np.int64)), pa.array(doc), pa.array(total), pa.array(place)], ["shingle", "id", "n", "pos"])
 
-    return texts.mapInArrow(pack, PACKED).groupBy("bucket").applyInArrow(unpack, "shingle bigint, id bigint, n int, pos int")
+    return _packed(texts, n, percent, hot, rank, buckets).groupBy("bucket").applyInArrow(unpack, "shingle bigint, id bigint, n int, pos int")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:

@@ -1,7 +1,9 @@
 import random
 import re
 
-from tessera.llm.ngram_join import ngram_jaccard_join
+import numpy as np
+
+from tessera.llm.ngram_join import _packed, ngram_jaccard_join
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 UPPER = {c: c + 32 for c in range(65, 91)}
@@ -80,3 +82,19 @@ def test_empty_table_and_clashing_names(spark):
 def test_documents_equal_brute_force(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert result(df) == brute([(r.doc_id, r.text) for r in df.collect()])
+
+
+def test_a_task_that_is_run_again_packs_the_same(spark):
+    rnd = random.Random(3)
+    base = " ".join(f"w{k}" for k in range(60))
+    rows = [(7 + k, f"{base} x{k % 5}") for k in range(200)]
+    none = (np.zeros(0, np.uint64), np.zeros(0, np.int32))
+
+    def packed():
+        rnd.shuffle(rows)
+        df = spark.createDataFrame(rows, "id bigint, text string").coalesce(1)
+        return sorted(tuple(r) for r in _packed(df, 5, 80, *none, 1_000_000).collect())
+
+    first = packed()
+    assert any(r[0] < 0 for r in first)
+    assert packed() == first
