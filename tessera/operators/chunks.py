@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators.corpus import begins
 
 
 def mention_edges(entities: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -30,11 +31,11 @@ def rewritten_id(report: Column, chunk_id: Column, place: Column) -> Column:
 def reconciled(mentions: DataFrame, chunks: DataFrame, width: int = 16) -> tuple[DataFrame, DataFrame]:
     """(mentions, chunks) after chunks of unknown reports gave way: one whose text begins a known
     chunk's text, or the other way round, is dropped and its mentions move to that chunk (the first by
-    id). Texts meet on their first `width` characters."""
-    head = F.substring("text", 1, width)
-    bad = chunks.where("report_id = 'UNKNOWN'").select(F.col("chunk_id").alias("bad"), F.col("text").alias("b"), head.alias("head"))
-    good = chunks.where("report_id <> 'UNKNOWN'").select(F.col("chunk_id").alias("good"), F.col("text").alias("g"), head.alias("head"))
-    moved = bad.join(good, "head").where(F.col("g").startswith(F.col("b")) | F.col("b").startswith(F.col("g"))).groupBy("bad").agg(F.min("good").alias("good"))
+    id). Texts meet as in corpus.begins()."""
+    bad = chunks.where("report_id = 'UNKNOWN'").select(F.col("chunk_id").alias("id"), "text")
+    good = chunks.where("report_id <> 'UNKNOWN'").select(F.col("chunk_id").alias("id"), "text")
+    met = begins(bad, good, width).toDF("bad", "good").unionByName(begins(good, bad, width).toDF("good", "bad"))
+    moved = met.groupBy("bad").agg(F.min("good").alias("good"))
     to = moved.withColumnRenamed("bad", "to_key")
     kept = mentions.join(to, "to_key", "left").withColumn("to_key", F.coalesce("good", "to_key")).select(mentions.columns).distinct()
     return kept, chunks.join(moved.select(F.col("bad").alias("chunk_id")), "chunk_id", "left_anti")

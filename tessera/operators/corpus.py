@@ -59,9 +59,23 @@ def contained(texts: DataFrame, aliases: DataFrame, anchor: int = 4) -> DataFram
     return heads.join(whole, "id").where(F.col("line").contains(F.concat(F.lit(" "), "body", F.lit(" ")))).select("id", "alias_id").distinct()
 
 
+def begins(short: DataFrame, long: DataFrame, width: int = 16) -> DataFrame:
+    """(short_id, long_id) where the short text begins the long one. Texts of `width` characters or
+    more meet on their first `width`; a shorter text meets the long one's head of its own length.
+    An empty text begins only empty texts, and null has no pairs."""
+    s = short.select(F.col("id").alias("short_id"), F.col("text").alias("s"))
+    g = long.select(F.col("id").alias("long_id"), F.col("text").alias("g"))
+    head = lambda c: F.substring(c, 1, width).alias("head")
+    met = s.where(F.length("s") >= width).select("*", head("s")).join(g.where(F.length("g") >= width).select("*", head("g")), "head").where(F.col("g").startswith(F.col("s"))).select("short_id", "long_id")
+    brief = s.where(F.length("s") < width)
+    sizes = sorted(r["k"] for r in brief.select(F.length("s").alias("k")).distinct().collect())  # at most `width` numbers
+    if not sizes:
+        return met
+    fits = F.filter(F.array(*map(F.lit, sizes)), lambda k: F.when(k == 0, F.length("g") == 0).otherwise(k <= F.length("g")))
+    heads = g.select("long_id", F.explode(F.transform(fits, lambda k: F.col("g").substr(F.lit(1), k))).alias("s"))
+    return met.unionByName(brief.join(heads, "s").select("short_id", "long_id"))
+
+
 def prefix_pairs(short: DataFrame, long: DataFrame, width: int = 16) -> DataFrame:
-    """(short_id, long_id) where the short text begins the long one. Both meet on their first `width`
-    characters; shorter texts are too little evidence and have no pairs."""
-    s = short.select(F.col("id").alias("short_id"), F.col("text").alias("s")).where(F.length("s") >= width).withColumn("head", F.substring("s", 1, width))
-    g = long.select(F.col("id").alias("long_id"), F.col("text").alias("g")).where(F.length("g") >= width).withColumn("head", F.substring("g", 1, width))
-    return s.join(g, "head").where((F.col("short_id") != F.col("long_id")) & F.col("g").startswith(F.col("s"))).select("short_id", "long_id")
+    """(short_id, long_id) where the short text begins the long one and the ids differ; see begins()."""
+    return begins(short, long, width).where(F.col("short_id") != F.col("long_id"))

@@ -135,3 +135,21 @@ def test_stages_are_recorded(spark, tmp_path):
     assert out.count() == 3 and [m["rows"] for m in metrics] == [5, None, 3] and "ValueError" in metrics[1]["error"]
     with pytest.raises(RuntimeError):
         run_stages(spark.range(1), [("broken", broken)], write)
+
+
+def test_prefix_pairs_of_short_and_empty_texts(spark):
+    texts = ["A.", "A.", "A. long enough to have a head", "A. long enough to have", "é", "éa", "", "", "0123456789abcde", "0123456789abcdef", "B", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    want = sorted((i, j) for i, s in enumerate(texts) for j, g in enumerate(texts) if i != j and s is not None and g is not None and g.startswith(s) and (s or not g))
+    assert sorted(tuple(r) for r in C.prefix_pairs(df, df).collect()) == want
+
+
+def test_reconciled_chunks_of_short_texts(spark):
+    from tessera.operators import chunks as K
+
+    rows = [("U#1", "UNKNOWN", "short"), ("R#1", "R", "short text that goes on and on"), ("U#2", "UNKNOWN", "tiny and then much longer"), ("R#2", "R", "tiny"), ("U#3", "UNKNOWN", ""), ("U#4", "UNKNOWN", "other")]
+    chunks = spark.createDataFrame(rows, "chunk_id string, report_id string, text string")
+    mentions = spark.createDataFrame([("a", "U#1"), ("b", "U#2"), ("c", "U#3"), ("d", "U#4")], "from_key string, to_key string")
+    m, c = K.reconciled(mentions, chunks)
+    assert sorted(tuple(r) for r in m.collect()) == [("a", "R#1"), ("b", "R#2"), ("c", "U#3"), ("d", "U#4")]
+    assert sorted(r.chunk_id for r in c.collect()) == ["R#1", "R#2", "U#3", "U#4"]
