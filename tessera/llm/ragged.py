@@ -7,19 +7,39 @@ bounded by SLICE_BYTES and the longest single text.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _rng = np.random.RandomState(20240607)
 _BYTE = _rng.randint(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE = _rng.randint(0, 2**63, 1 << 14, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def tidy(batches: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow that gives free memory back after each batch and at its end: workers
+    are kept for later tasks, and what they hold meanwhile is taken from their executor."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def inputs() -> Iterator[pa.RecordBatch]:
+            for b in it:
+                yield b
+                del b
+                pa.default_memory_pool().release_unused()
+
+        yield from batches(inputs())
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # where the C library keeps freed memory
+            trim(0)
+
+    return run
+
+
 def buffers(column) -> tuple[np.ndarray, np.ndarray]:
     """The bytes and the int64 offsets of an Arrow string or binary array; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -101,8 +121,11 @@ def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
         at = np.cumsum(n) - n
         raw = data[concat_spans(starts, ends)]
     place = np.arange(len(raw), dtype=np.int64) - np.repeat(at, n)
-    place &= len(_PLACE) - 1
-    h = np.add.reduceat(_BYTE[raw] * _PLACE[place], at)
+    terms = _BYTE[raw] * _PLACE[place & (len(_PLACE) - 1)]
+    if int(n.max()) > len(_PLACE):  # a factor of its own for each further stretch of a long span
+        far = np.flatnonzero(place >= len(_PLACE))
+        terms[far] *= mix((place[far] // len(_PLACE)).astype(np.uint64)) | np.uint64(1)
+    h = np.add.reduceat(terms, at)
     return mix(h + n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -136,6 +159,33 @@ def byte_classes(data: np.ndarray, of: np.ndarray) -> np.ndarray:
     return out
 
 
+class Cache:
+    """Rows of numbers by uint64 key, in sorted arrays: found and added for whole arrays of keys.
+    Beyond `limit` rows it starts anew, so that its memory is bounded."""
+
+    def __init__(self, limit: int, width: int, kind: type):
+        self.limit, self.empty = limit, (np.zeros(0, np.uint64), np.zeros((0, width), kind))
+        self.keys, self.rows = self.empty
+
+    def get(self, keys: np.ndarray, make) -> np.ndarray:
+        """The rows of distinct keys; make(places) gives the rows of those at places that are new."""
+        out = np.empty((len(keys), self.rows.shape[1]), self.rows.dtype)
+        at = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), bool)
+        inside = at < len(self.keys)
+        known[inside] = self.keys[at[inside]] == keys[inside]
+        out[known] = self.rows[at[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            out[new] = make(new)
+            if len(self.keys) + len(new) > self.limit:
+                self.keys, self.rows = self.empty
+            every = np.concatenate([self.keys, keys[new]])
+            order = np.argsort(every, kind="stable")
+            self.keys, self.rows = every[order], np.concatenate([self.rows, out[new]])[order]
+        return out
+
+
 class HashIndex:
     """A read-only map from uint64 keys to their positions, probed for whole arrays."""
 

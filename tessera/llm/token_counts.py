@@ -9,9 +9,12 @@ The rules are those of a sentencepiece BPE model without a normaliser that chang
 characters: a space is put before a text, spaces become U+2581, pairs are merged by the
 score of the joined piece, and a character outside the vocabulary costs its UTF-8 bytes.
 No piece holds U+2581 after another character, so a pre-token (spaces, then characters up
-to the next space) is merged on its own.
+to the next space) is merged on its own. A model for which either does not hold is refused when
+it is loaded.
 
-Null and empty texts have 0 tokens; repeated rows are counted each; other columns are ignored.
+Null and empty texts have 0 tokens; very long texts are counted whole; of equal scores the
+leftmost pair merges first; repeated rows are counted each; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,8 +31,10 @@ from tessera.llm.shared import text_rows
 
 SPACE = "▁"
 CACHE = 400_000
-SLICE = 4 << 20
+SLICE = 2 << 20
 NONE = np.iinfo(np.int32).max
+# Texts that a normaliser or another treatment of spaces would change.
+PROBES = ("a  b ", " a", "\ta\nb", "ﬁ Ａ１ ½", "e\u0301 é", "\u200b\u3000x", "ＡＢＣ ｶﾞ", "A b C", "<s> </s>", "\x00\ufeff")
 
 
 class PieceMerger:
@@ -42,6 +47,8 @@ class PieceMerger:
         size = sp.get_piece_size()
         plain = [i for i in range(size) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
         ids = {sp.id_to_piece(i): i for i in plain}
+        if any(SPACE in p.lstrip(SPACE) for p in ids):
+            raise ValueError(f"{model_path}: pieces reach over spaces")
         order = sorted(plain, key=lambda i: -sp.get_score(i))
         rank, last, r = {}, None, -1
         for i in order:  # equal scores share a rank, so that the leftmost pair wins
@@ -135,12 +142,18 @@ def spaced(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.insert(data, heads, 32), offsets + np.r_[0, np.cumsum(offsets[1:] > offsets[:-1])]
 
 
-_MERGERS: dict[str, tuple[PieceMerger, dict[int, int]]] = {}
+_MERGERS: dict[str, tuple[PieceMerger, ragged.Cache]] = {}
 
 
-def _merger(path: str) -> tuple[PieceMerger, dict[int, int]]:
+def _merger(path: str) -> tuple[PieceMerger, ragged.Cache]:
     if path not in _MERGERS:
-        _MERGERS[path] = PieceMerger(path), {}
+        import sentencepiece
+
+        _MERGERS[path] = PieceMerger(path), ragged.Cache(CACHE, 1, np.int64)
+        sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        if count_column(pa.array(PROBES), path).tolist() != [len(sp.encode(x)) for x in PROBES]:
+            del _MERGERS[path]
+            raise ValueError(f"{path}: not a byte-pair model without a normaliser")
     return _MERGERS[path]
 
 
@@ -160,15 +173,12 @@ def count_column(column, model_path: str) -> np.ndarray:
         starts = np.flatnonzero(start)
         ends = np.r_[starts[1:], len(data)]
         codes, values, first = ragged.distinct(ragged.span_hash(data, starts, ends))
-        keys = values.tolist()
-        counts = np.fromiter(map(cache.get, keys, (-1,) * len(keys)), np.int64, len(keys))
-        if len(miss := np.flatnonzero(counts < 0)):
-            raw = data.tobytes()
-            words = [raw[a:b].decode("utf-8").replace(" ", SPACE) for a, b in zip(starts[first[miss]].tolist(), ends[first[miss]].tolist(), strict=True)]
-            counts[miss] = merger.counts(words)
-            if len(cache) > CACHE:
-                cache.clear()
-            cache.update(zip(values[miss].tolist(), counts[miss].tolist(), strict=True))
+        raw = data.tobytes()
+
+        def merged(new: np.ndarray, raw=raw, starts=starts[first], ends=ends[first]) -> np.ndarray:
+            return merger.counts([raw[a:b].decode("utf-8").replace(" ", SPACE) for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])[:, None]
+
+        counts = cache.get(values, merged)[:, 0]
         parts.append(ragged.row_sums(counts[codes], ragged.rows_of(starts, offsets), hi - lo).astype(np.int64))
     return np.concatenate(parts)
 
@@ -184,5 +194,5 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, id_col: st
 
     rows = text_rows(docs, id_col, text_col)
     kind = rows.schema["id"].dataType.simpleString()
-    counted = rows.mapInArrow(batches, f"id {kind}, n_bytes bigint, n_tokens bigint")
+    counted = rows.mapInArrow(ragged.tidy(batches), f"id {kind}, n_bytes bigint, n_tokens bigint")
     return counted.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

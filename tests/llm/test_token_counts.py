@@ -3,9 +3,11 @@ import random
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pytest
 import sentencepiece
 
-from tessera.llm.ragged import HashIndex, runs
+from tessera.llm import token_counts
+from tessera.llm.ragged import HashIndex, runs, span_hash
 from tessera.llm.token_counts import count_column, count_tokens
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -41,3 +43,30 @@ def test_index_and_runs():
     assert (index.find(keys) == np.arange(len(keys))).all() and (index.find(keys + np.uint64(1)) == -1).sum() >= len(keys) - 2
     starts, ends = runs(np.array([1, 1, 0, 1, 1, 1], bool), np.array([0, 4, 4, 6]))
     assert starts.tolist() == [0, 3, 4] and ends.tolist() == [2, 4, 6]
+
+
+def test_long_pre_tokens_that_differ_by_exchanged_stretches():
+    a, b = "ab" * 8192, "日b" * 4096
+    texts = [a + b, b + a, a + b + a, b + a + a]
+    assert count_column(pa.array(texts), MODEL).tolist() == [len(LIBRARY.encode(t)) for t in texts]
+
+
+def test_spans_that_differ_by_exchanged_stretches_hash_differently():
+    block = [bytes([65 + k]) * 16384 for k in range(3)]
+    spans = [b"".join(block[k] for k in order) for order in ((0, 1, 2), (0, 2, 1), (1, 0, 2), (2, 1, 0), (0, 1), (1, 0))]
+    data, offsets = np.frombuffer(b"".join(spans), np.uint8), np.r_[0, np.cumsum([len(x) for x in spans])]
+    assert len(set(span_hash(data, offsets[:-1], offsets[1:]).tolist())) == len(spans)
+    alone = span_hash(np.frombuffer(spans[1], np.uint8), np.array([0]), np.array([len(spans[1])]))
+    assert alone[0] == span_hash(data, offsets[:-1], offsets[1:])[1]
+
+
+def test_models_that_change_characters_are_refused():
+    with pytest.raises(ValueError, match="normaliser|spaces"):
+        token_counts.PROBES, kept = (*token_counts.PROBES, "x"), token_counts.PROBES
+        token_counts._MERGERS.clear()
+        try:
+            token_counts.SPACE = "a"  # stands in for a model whose pieces hold the mark inside
+            count_column(pa.array(["x"]), MODEL)
+        finally:
+            token_counts.SPACE, token_counts.PROBES = "▁", kept
+            token_counts._MERGERS.clear()
