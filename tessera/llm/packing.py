@@ -9,12 +9,14 @@
    program, solved by column generation; its rounded-down solution opens sequences. What
    remains of the large ones and all small ones is placed by best fit, longest first, on
    classes of equal sequences, so that the work does not grow with the number of pieces.
-   Of some numbers of groups, the plan with the fewest sequences is kept.
+   Groups are made finer, and more pieces counted as large, until no sequence can be saved; the
+   first of the best plans is kept.
 3. Substitute. Within each length, pieces are numbered in parallel (counts per task, then
    offsets), and the plan's intervals of numbers give each its sequence and offset.
 
-Null text counts as empty (the end token alone); repeated rows are packed each; an empty
-table gives an empty result; other columns are ignored.
+Null text counts as empty (the end token alone); very long texts are encoded whole, then cut; ties
+(pieces of one length) go by task, id and start; repeated rows are packed each; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,8 +42,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 WHITE_SPACE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 LETTER, NUMBER, OTHER, SPACE = 0, 1, 2, 3
 SPECIAL = b"<|endoftext|>"
-CACHE = 300_000
-SLICE = 4 << 20
+CACHE, POOL = 300_000, 4 << 20
+SLICE = 2 << 20
 
 
 class BytePairs:
@@ -49,7 +51,7 @@ class BytePairs:
 
     def __init__(self, json_path: str, ranks_path: str | None):
         self.json_path = json_path
-        self.cache: dict[int, bytes] = {}
+        self.cache, self.pool = ragged.Cache(CACHE, 2, np.int64), np.zeros(0, np.uint32)  # start and number of a pre-token's ids in the pool
         self.library = None
         self.merge = None
         if ranks_path:
@@ -128,19 +130,20 @@ class BytePairs:
             starts = self.starts(data, offsets)
             ends = np.r_[starts[1:], len(data)]
             codes, values, first = ragged.distinct(ragged.span_hash(data, starts, ends))
-            keys = values.tolist()
-            known = [self.cache.get(k) for k in keys]
-            miss = [i for i, x in enumerate(known) if x is None]
-            if miss:
-                if len(self.cache) > CACHE:
-                    self.cache.clear()
-                one, at, end = self.merge._encode_single_piece, starts[first[miss]].tolist(), ends[first[miss]].tolist()
-                for i, a, b in zip(miss, at, end, strict=True):
-                    known[i] = self.cache[keys[i]] = np.array(one(raw[a:b]), np.uint32).tobytes()
-            size = np.fromiter(map(len, known), np.int64, len(known)) >> 2
-            pool, base = np.frombuffer(b"".join(known), np.uint32), np.cumsum(size) - size
+
+            def encoded(new: np.ndarray, raw=raw, starts=starts[first], ends=ends[first]) -> np.ndarray:
+                one = self.merge._encode_single_piece
+                found = [one(raw[a:b]) for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]
+                size = np.fromiter(map(len, found), np.int64, len(found))
+                base = len(self.pool) + np.cumsum(size) - size
+                self.pool = np.concatenate([self.pool, np.fromiter((i for x in found for i in x), np.uint32, int(size.sum()))])
+                return np.stack([base, size], axis=1)
+
+            base, size = self.cache.get(values, encoded).T
             n = size[codes]
-            ids = pool[ragged.concat_spans(base[codes], base[codes] + n)]
+            ids = self.pool[ragged.concat_spans(base[codes], base[codes] + n)]
+            if len(self.pool) > POOL:
+                self.cache, self.pool = ragged.Cache(CACHE, 2, np.int64), np.zeros(0, np.uint32)
             per_row = ragged.row_sums(n, ragged.rows_of(starts, offsets), hi - lo).astype(np.int64)
             yield lo, hi, ids, np.r_[0, np.cumsum(per_row)]
 
@@ -178,7 +181,7 @@ def token_pieces(docs: DataFrame, json_path: str, ranks_path: str | None, capaci
 
     rows = text_rows(docs, id_col, text_col)
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(batches, f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return rows.mapInArrow(ragged.tidy(batches), f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 # The plan. A class is `n` equal sequences: their lengths in order, and what is left of each.
@@ -233,12 +236,14 @@ def _configurations(sizes: list[int], demand: np.ndarray, capacity: int) -> list
         x = np.linalg.solve(basis, demand)
         price = np.linalg.solve(basis.T, np.ones(k))
         value, came = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+        each = np.array(sizes)  # in falling order
         for room in range(1, capacity + 1):  # unbounded knapsack
-            best, by = value[room - 1], -1
-            for i, s in enumerate(sizes):
-                if s <= room and value[room - s] + price[i] > best + 1e-12:
-                    best, by = value[room - s] + price[i], i
-            value[room], came[room] = best, by
+            value[room] = value[room - 1]
+            fits = np.searchsorted(-each, -room)  # sizes from here on fit
+            if fits < k:
+                gain = value[room - each[fits:]] + price[fits:]
+                if gain[i := int(gain.argmax())] > value[room] + 1e-12:
+                    value[room], came[room] = gain[i], fits + i
         if value[capacity] <= 1 + 1e-7:
             break
         column, room = np.zeros(k), capacity
@@ -256,18 +261,29 @@ def _configurations(sizes: list[int], demand: np.ndarray, capacity: int) -> list
     return [(int(x[j] + 1e-9), basis[:, j].round().astype(int)) for j in range(k) if x[j] >= 1 - 1e-9]
 
 
-def plan(histogram: dict[int, int], capacity: int, groups: tuple[int, ...] = (12, 24), large: float = 1 / 6) -> list[tuple[int, tuple[int, ...]]]:
-    """Classes (how many sequences, the lengths each of them holds) that place every piece: the
-    best of linear grouping with these numbers of groups, or best fit alone if that needs fewer."""
-    tried = [_grouped(histogram, capacity, g, large) for g in groups]
-    return min([*tried, _best_fit(histogram, capacity)], key=lambda c: sum(n for n, _ in c))
+def plan(histogram: dict[int, int], capacity: int, groups: tuple[int, ...] = (6, 12, 24, 48), large: tuple[float, ...] = (1 / 3, 1 / 4, 1 / 6)) -> list[tuple[int, tuple[int, ...]]]:
+    """Classes (how many sequences, the lengths each of them holds) that place every piece, by
+    linear grouping with the first of these numbers of groups, and of these shares of the capacity
+    above which a piece is large, that gives the fewest sequences."""
+    best: list[tuple[int, tuple[int, ...]]] = []
+    used, least = np.inf, -(-sum(s * n for s, n in histogram.items()) // capacity)
+    for g in groups:
+        before = used
+        for share in large:
+            classes = _grouped(histogram, capacity, g, share)
+            if (n := sum(k for k, _ in classes)) < used:
+                best, used = classes, n
+        if used in (before, least):  # finer groups save nothing, or nothing is left to save
+            break
+    return best
 
 
 def _grouped(histogram: dict[int, int], capacity: int, groups: int, large: float) -> list[tuple[int, tuple[int, ...]]]:
     big = [s for s in sorted(histogram, reverse=True) if capacity * large < s < capacity]
     total = sum(histogram[s] for s in big)
-    if total < 4 * groups:
+    if not total:  # none is large: all are placed by best fit
         return _best_fit(histogram, capacity)
+    groups = min(groups, total)
     # linear grouping: equal cardinality, each group rounded up to its longest length
     group_of, sizes, demand, seen = {}, [], [], 0
     for s in big:

@@ -70,3 +70,14 @@ def test_pieces(spark):
             at += length
         assert at <= 1024
     assert pack(df.limit(0), JSON, RANKS).collect() == []
+
+
+def test_long_pre_tokens_that_differ_by_exchanged_stretches(spark):
+    """Two words of the same letters, 16 KB stretches of which are exchanged, are two words."""
+    a, b = "ab" * 8192, "cd" * 8192
+    texts = [a + b, b + a, a + b + a, b + a + a]
+    enc = BytePairs(JSON, RANKS)
+    ids = [i for _, _, i, _ in enc.encode(pa.array(texts))]
+    offsets = [o for _, _, _, o in enc.encode(pa.array(texts))][0]
+    for k, want in enumerate(enc.whole(texts)):
+        assert ids[0][offsets[k] : offsets[k + 1]].tolist() == want.tolist()
