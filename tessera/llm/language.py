@@ -4,14 +4,17 @@ The pieces are those of a fixed public vocabulary (letters only, in lower case;
 word). Each language has a probability for each piece, fitted by expectation maximisation on a
 bounded sample of labelled rows. A word's probability is the sum over all its segmentations into
 pieces, by the forward algorithm; a text's is the product over its words (maximal runs of
-letters). The forward algorithm runs over all distinct words of a slice at once.
+letters). The forward algorithm runs over all distinct words of a slice at once, in blocks of
+columns: what the pieces that reach into the next block need is carried over and rescaled, so
+that words of any length are summed over all their segmentations in bounded memory.
 
 The sample takes about `sample` rows of each language (all of a smaller one), chosen by a hash of
-the id, from rows whose crc32(id) mod 4 is not 2 and whose label is not null. Everything else
-covers all rows. Runs of letters longer than MOST are scored in stretches of MOST characters.
+the id, from rows whose crc32(id) mod 4 is not 2 and whose label is not null; words of more than
+FIT_LETTERS letters are left out of the sample. Everything else covers all rows and words.
 
 A text that is null or has no letter is `und` with score 0; so is every text if no row is
-labelled. Repeated rows are scored each; an empty table gives an empty result; other columns
+labelled. Of languages that fit equally well the first by name is predicted. Repeated rows are
+scored each; very long texts are scored whole; an empty table gives an empty result; other columns
 are ignored.
 """
 
@@ -28,9 +31,10 @@ from pyspark.sql import functions as F
 from tessera.llm import ragged
 
 START = "▁"
-LONGEST, MOST = 8, 24
-CACHE = 300_000
-CHUNK = 20_000
+FIT_LETTERS = 40
+BLOCK = 32
+CACHE = 500_000
+CHUNK = 8_000
 _LETTER = None
 _BASE = np.uint64(0x100000001B3)
 
@@ -43,12 +47,28 @@ def letter_table() -> np.ndarray:
 
 
 def pieces_of(model_path: str) -> list[str]:
-    """The vocabulary's pieces of letters in lower case, at most LONGEST characters long."""
+    """The vocabulary's pieces of letters in lower case, with or without the word mark."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=model_path)
     every = (sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)))
-    return sorted({p for p in every if len(p) <= LONGEST and p == p.lower() and p.removeprefix(START).isalpha() or p == START})
+    return sorted({p for p in every if p == p.lower() and p.removeprefix(START).isalpha() or p == START})
+
+
+class Words:
+    """Words as one array of code points, in the order of their lengths."""
+
+    def __init__(self, words: list[str]):
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        self.order = np.argsort(size, kind="stable")
+        self.flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.start, self.size = (np.cumsum(size) - size)[self.order], size[self.order]
+
+    def codes(self, rows: slice, low: int, high: int) -> np.ndarray:
+        """The characters low to high of some words, 0 outside them."""
+        place = np.arange(low, high)[None, :]
+        inside = (place >= 0) & (place < self.size[rows, None])
+        return np.where(inside, self.flat[np.where(inside, self.start[rows, None] + place, 0)], 0).astype(np.uint64)
 
 
 class Lattice:
@@ -61,6 +81,7 @@ class Lattice:
             ids = [i for i, p in enumerate(pieces) if len(p) == n]
             codes = np.array([[ord(c) for c in pieces[i]] for i in ids], np.uint64)
             self.by_length[n] = ragged.HashIndex(self._hash(codes)), np.array(ids, np.int32)
+        self.longest = max(self.by_length, default=1)
 
     @staticmethod
     def _hash(codes: np.ndarray) -> np.ndarray:
@@ -69,18 +90,15 @@ class Lattice:
             h = ragged.mix(h * _BASE + codes[:, k])
         return h
 
-    def of(self, words: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
-        """(lengths, for each piece length the piece at each place of each word)."""
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        width = int(size.max())
-        codes = np.zeros((len(words), width + LONGEST), np.uint64)
-        flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
-        codes[np.repeat(np.arange(len(words)), size), ragged.concat_spans(np.zeros(len(words), np.int64), size)] = flat
-        out, h = [], np.zeros((len(words), width), np.uint64)
-        for n in range(1, LONGEST + 1):
+    def of(self, words: Words, rows: slice, low: int, high: int) -> list[np.ndarray]:
+        """For each piece length, the piece that begins at each of the places low to high."""
+        codes, size = words.codes(rows, low, high + self.longest), words.size[rows, None]
+        width, place = high - low, np.arange(low, high)[None, :]
+        out, h = [], np.zeros((len(codes), width), np.uint64)
+        for n in range(1, self.longest + 1):
             h = ragged.mix(h * _BASE + codes[:, n - 1 : n - 1 + width])
             found = np.full(h.shape, self.size + 1, np.int32)
-            inside = np.arange(width)[None, :] + n <= size[:, None]
+            inside = (place >= 0) & (place + n <= size)
             if n in self.by_length:
                 index, ids = self.by_length[n]
                 at = index.find(h[inside])
@@ -88,66 +106,66 @@ class Lattice:
             if n == 1:
                 found[inside & (found > self.size)] = self.size
             out.append(found)
-        return size, out
-
-    def forward(self, size: np.ndarray, at: list[np.ndarray], p: np.ndarray) -> np.ndarray:
-        """(words, places + 1, languages): the sum over segmentations of each beginning."""
-        a = np.zeros((len(size), at[0].shape[1] + 1, p.shape[1]))
-        a[:, 0] = 1.0
-        for j in range(1, a.shape[1]):
-            for n in range(1, min(j, LONGEST) + 1):
-                a[:, j] += a[:, j - n] * p[at[n - 1][:, j - n]]
-        return a
+        return out
 
     def log_probability(self, words: list[str], p: np.ndarray) -> np.ndarray:
-        out = np.empty((len(words), p.shape[1]))
-        order = sorted(range(len(words)), key=lambda k: len(words[k]))
-        for lo in range(0, len(order), CHUNK):
-            some = order[lo : lo + CHUNK]
-            size, at = self.of([words[k] for k in some])
-            a = self.forward(size, at, p)
-            out[some] = np.log(a[np.arange(len(some)), size])
+        """(words, languages): the logarithm of the sum over all segmentations of each word."""
+        out, of, k = np.empty((len(words), p.shape[1])), Words(words), self.longest
+        for begin in range(0, len(words), CHUNK):
+            at, end = begin, min(begin + CHUNK, len(words))  # words at..end are longer than the columns done
+            tail = np.zeros((end - at, k, p.shape[1]))  # the sums of the last k beginnings
+            tail[:, -1] = 1.0
+            scale, done = np.zeros((end - at, p.shape[1])), 0
+            while at < end:
+                width = min(BLOCK, int(of.size[end - 1]) - done)
+                pieces = self.of(of, slice(at, end), done - k + 1, done + width)
+                a = np.concatenate([tail, np.zeros((end - at, width, p.shape[1]))], axis=1)
+                for j in range(k, k + width):
+                    for n in range(1, k + 1):
+                        a[:, j] += a[:, j - n] * p[pieces[n - 1][:, j - n]]
+                over = int(np.searchsorted(of.size[at:end], done + width, "right"))
+                rows = np.arange(over)
+                out[of.order[at : at + over]] = np.log(a[rows, k - 1 + of.size[at : at + over] - done]) + scale[:over]
+                tail = a[over:, -k:]
+                most = tail.max(axis=1)
+                tail, scale = tail / most[:, None], scale[over:] + np.log(most)
+                at, done = at + over, done + width
         return out
 
     def expected(self, words: list[str], times: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """Expected counts of the pieces in words that occur `times`, for one language p."""
-        counts = np.zeros(self.size + 2)
-        order = np.argsort([len(w) for w in words], kind="stable")
-        for lo in range(0, len(order), CHUNK):
-            some = order[lo : lo + CHUNK]
-            size, at = self.of([words[k] for k in some])
-            a = self.forward(size, at, p)[:, :, 0]
-            b = np.zeros_like(a)
-            rows = np.arange(len(some))
-            b[rows, size] = 1.0
-            for j in range(a.shape[1] - 2, -1, -1):
-                for n in range(1, min(LONGEST, a.shape[1] - 1 - j) + 1):
-                    b[:, j] += p[at[n - 1][:, j], 0] * b[:, j + n]
-            scale = times[some] / a[rows, size]
-            for n in range(1, LONGEST + 1):
-                w = at[n - 1].shape[1] - n + 1
-                if w > 0:
-                    pid = at[n - 1][:, :w]
-                    counts += np.bincount(pid.ravel(), weights=(a[:, :w] * p[pid, 0] * b[:, n : n + w] * scale[:, None]).ravel(), minlength=self.size + 2)
+        """Expected counts of the pieces in short words that occur `times`, for one language p."""
+        counts, every, p = np.zeros(self.size + 2), Words(words), p.ravel()
+        for lo in range(0, len(words), CHUNK):
+            rows = slice(lo, min(lo + CHUNK, len(words)))
+            size, each = every.size[rows], np.arange(rows.stop - lo)
+            width = int(size[-1])
+            at = self.of(every, rows, 0, width)
+            a, b = np.zeros((len(each), width + 1)), np.zeros((len(each), width + 1))
+            a[:, 0] = b[each, size] = 1.0
+            for j in range(1, width + 1):
+                for n in range(1, min(j, self.longest) + 1):
+                    a[:, j] += a[:, j - n] * p[at[n - 1][:, j - n]]
+            for j in range(width - 1, -1, -1):
+                for n in range(1, min(self.longest, width - j) + 1):
+                    b[:, j] += p[at[n - 1][:, j]] * b[:, j + n]
+            scale = times[every.order[rows]] / a[each, size]
+            for n in range(1, min(self.longest, width) + 1):
+                pid = at[n - 1][:, : width - n + 1]
+                counts += np.bincount(pid.ravel(), weights=(a[:, : width - n + 1] * p[pid] * b[:, n:] * scale[:, None]).ravel(), minlength=self.size + 2)
         return counts
 
 
 def fit(lattice: Lattice, words: list[str], times: np.ndarray, rounds: int = 4, smooth: float = 0.05) -> np.ndarray:
     """The probabilities of the pieces (and of an unknown character) in one language."""
-    p = np.full((lattice.size + 2, 1), 1.0 / (lattice.size + 1))
+    p = np.full(lattice.size + 2, 1.0 / (lattice.size + 1))
     p[-1] = 0.0
     for _ in range(rounds):
         c = lattice.expected(words, times, p)
         c[:-1] += smooth
         c[-1] = 0.0
-        p = (c / c.sum())[:, None]
+        p = c / c.sum()
     p[lattice.size] = 1e-7  # an unknown character tells nothing about the language
-    return p[:, 0]
-
-
-def _stretches(word: str) -> list[str]:
-    w = START + word
-    return [w[k : k + MOST] for k in range(0, len(w), MOST)]
+    return p
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -170,7 +188,7 @@ def _word_counts(rows: DataFrame) -> DataFrame:
             keys = list(total)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1].decode().lower() for k in keys], pa.string()), pa.array(list(total.values()), pa.int64())], ["lang", "word", "times"])
 
-    return rows.select("lang", "text").mapInArrow(batches, "lang string, word string, times bigint").groupBy("lang", "word").agg(F.sum("times").alias("times"))
+    return rows.select("lang", "text").mapInArrow(ragged.tidy(batches), "lang string, word string, times bigint").groupBy("lang", "word").agg(F.sum("times").alias("times"))
 
 
 class Model:
@@ -194,12 +212,9 @@ def train(docs: DataFrame, model_path: str, sample: int = 300, id_col: str = "do
     lattice, languages, fitted = Lattice(pieces), sorted(counts), []
     for lang in languages:
         of = got[got["lang"] == lang]
-        total: dict[str, int] = {}
-        for w, n in zip(of["word"], of["times"], strict=True):
-            for s in _stretches(w):
-                total[s] = total.get(s, 0) + int(n)
-        words = list(total) or [START]
-        fitted.append(fit(lattice, words, np.array([total.get(w, 1) for w in words], float)))
+        of = of[of["word"].str.len() <= FIT_LETTERS]
+        words, times = [START + w for w in of["word"]], of["times"].to_numpy(float)
+        fitted.append(fit(lattice, words or [START], times if words else np.ones(1)))
     return Model(languages, pieces, np.stack(fitted, axis=1))
 
 
@@ -212,27 +227,15 @@ class Scorer:
 
     def __init__(self, languages: list[str], pieces: list[str], p: np.ndarray):
         self.languages, self.p, self.lattice = languages, p, Lattice(pieces)
-        self._reset()
-
-    def _reset(self) -> None:
-        self.known: dict[int, int] = {}
-        self.table = np.zeros((0, len(self.languages)))
+        self.cache = ragged.Cache(CACHE, len(languages), np.float64)
 
     def _words(self, raw: bytes, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The log-probabilities of distinct words."""
-        if len(self.known) > CACHE:
-            self._reset()
-        keys = values.tolist()
-        at = np.fromiter(map(self.known.get, keys, (-1,) * len(keys)), np.int64, len(keys))
-        if len(miss := np.flatnonzero(at < 0)):
-            words = [raw[a:z].decode().lower() for a, z in zip(starts[miss].tolist(), ends[miss].tolist(), strict=True)]
-            parts = [_stretches(w) for w in words]
-            size = np.fromiter(map(len, parts), np.int64, len(parts))
-            logs = np.add.reduceat(self.lattice.log_probability([s for x in parts for s in x], self.p), np.cumsum(size) - size, axis=0)
-            at[miss] = len(self.table) + np.arange(len(miss))
-            self.known.update(zip(values[miss].tolist(), at[miss].tolist(), strict=True))
-            self.table = np.concatenate([self.table, logs])
-        return self.table[at]
+
+        def logs(new: np.ndarray) -> np.ndarray:
+            return self.lattice.log_probability([START + raw[a:z].decode().lower() for a, z in zip(starts[new].tolist(), ends[new].tolist(), strict=True)], self.p)
+
+        return self.cache.get(values, logs)
 
     def __call__(self, column) -> tuple[list[str], list[float]]:
         pred: list[str] = []
@@ -267,22 +270,25 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["id", "lang_pred", "score"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = rows.mapInArrow(batches, f"id {rows.schema['id'].dataType.simpleString()}, lang_pred string, score double")
+    found = rows.mapInArrow(ragged.tidy(batches), f"id {rows.schema['id'].dataType.simpleString()}, lang_pred string, score double")
     return found.select(F.col("id").alias(id_col), _held_out("id").alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of docs whose language is identified, with all their columns."""
+def keep_identified(docs: DataFrame, model: Model, least_score: float = 0.0, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs whose predicted language has a score above least_score, with all their
+    columns; a null language becomes the predicted one."""
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.pieces, model.p))
-    at = docs.columns.index(text_col)
+    text_at, lang_at = docs.columns.index(text_col), docs.columns.index(lang_col)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*shared.value)
         for b in it:
-            pred, _ = scorer(b.column(at))
-            yield b.filter(pa.array([x != "und" for x in pred], pa.bool_()))
+            pred, score = scorer(b.column(text_at))
+            keep = pa.array([x != "und" and y > least_score for x, y in zip(pred, score, strict=True)], pa.bool_())
+            lang = pa.array([x if y is None else y for x, y in zip(pred, b.column(lang_at).to_pylist(), strict=True)], b.schema.field(lang_at).type)
+            yield pa.RecordBatch.from_arrays([lang if k == lang_at else b.column(k) for k in range(b.num_columns)], schema=b.schema).filter(keep)
 
-    return docs.mapInArrow(batches, docs.schema)
+    return docs.mapInArrow(ragged.tidy(batches), docs.schema)
 
 
 def language_id(docs: DataFrame, model_path: str, sample: int = 300, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

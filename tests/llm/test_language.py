@@ -55,6 +55,37 @@ def test_odd_rows(spark):
     assert {r.lang_pred for r in unlabelled} == {"und"}
 
 
-@pytest.mark.parametrize("word", ["", "a" * 23, "a" * 24, "a" * 100])
-def test_stretches_cover_a_word(word):
-    assert "".join(language._stretches(word)) == "▁" + word
+@pytest.mark.parametrize("size", [1, 30, 31, 32, 33, 63, 64, 65, 1000, 5000])
+def test_words_of_any_length_are_summed_whole(size):
+    pieces = ["▁", "a", "b", "ab", "ba", "aba", "▁a", "▁ab", "abababababab", "b" * 16]
+    lattice, rng = language.Lattice(pieces), np.random.RandomState(size)
+    p = np.c_[np.r_[rng.rand(len(pieces)) / 20, 1e-7, 0.0], np.r_[rng.rand(len(pieces)) / 20, 1e-7, 0.0]]
+    words = ["▁" + "".join(rng.choice(["a", "b", "ab" * 6, "b" * 16, "é"], size))[:size] for _ in range(3)] + ["▁a", "▁"]
+    got = lattice.log_probability(words, p)
+    for w, row in zip(words, got, strict=True):
+        for k in range(2):
+            logs = [0.0]
+            for j in range(1, len(w) + 1):
+                terms = [logs[j - n] + np.log(p[pieces.index(w[j - n : j]), k]) for n in range(1, min(j, 16) + 1) if w[j - n : j] in pieces]
+                logs.append(np.logaddexp.reduce(terms or [logs[j - 1] + np.log(1e-7)]))
+            assert np.isclose(row[k], logs[-1])
+
+
+def test_no_piece_of_letters_is_left_out():
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    letters = [x for x in (sp.id_to_piece(i) for i in range(sp.get_piece_size())) if x.replace("▁", "").isalpha() and x == x.lower() and x.count("▁") == x.startswith("▁")]
+    assert len(language.pieces_of(MODEL)) >= len(set(letters)) > 22_000
+
+
+def test_identified_rows_stay_and_get_a_language(spark):
+    rows = [(k, t, lang) for k, (t, lang) in enumerate([("the cat and the dog", "en"), ("le chat et le chien", "fr")] * 30)]
+    rows += [(100, "the dog", None), (101, "7 + 7", None), (102, None, "en"), (103, "qzqzq", "xx"), (None, "le chien", None)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, lang string, lang_pred string")
+    model = language.train(df, MODEL)
+    got = language.keep_identified(df, model, least_score=0.3)
+    assert got.columns == df.columns
+    lang = {r.doc_id: r.lang for r in got.collect()}
+    assert lang[100] == "en" and lang[None] == "fr" and lang[103] == "xx" and 101 not in lang and 102 not in lang
+    assert language.keep_identified(df, model, least_score=1.0).count() == 0
