@@ -3,7 +3,7 @@ import re
 
 import numpy as np
 
-from tessera.llm.ngram_join import _packed, ngram_jaccard_join
+from tessera.llm.ngram_join import _packed, ngram_jaccard_join, parity
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 UPPER = {c: c + 32 for c in range(65, 91)}
@@ -98,3 +98,25 @@ def test_a_task_that_is_run_again_packs_the_same(spark):
     first = packed()
     assert any(r[0] < 0 for r in first)
     assert packed() == first
+
+
+def test_long_words_that_differ_by_exchanged_stretches_are_not_linked(spark):
+    a, b = "a" * 16384, "b" * 16384
+    rows = [(1, a + b), (2, b + a), (3, a + b), (4, "x " * 3 + a + b + " y"), (5, "x " * 3 + b + a + " y")]
+    assert result(spark.createDataFrame(rows, "doc_id bigint, text string")) == brute(rows)
+
+
+def test_maps_bound_long_and_short_sets():
+    rng = np.random.RandomState(4)
+    for n in (1, 5, 100, 128, 129, 700, 5000):
+        s = np.unique(rng.randint(0, 2**62, n).astype(np.uint64))
+        for changed in (0, 1, n // 10, n):
+            t = np.unique(np.r_[s[changed:], rng.randint(0, 2**62, changed).astype(np.uint64)])
+            x, y = parity(s), parity(t)
+            while len(x) > len(y):
+                x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+            while len(y) > len(x):
+                y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+            differ = sum(bin(int(v) & (2**64 - 1)).count("1") for v in x ^ y)
+            assert differ <= len(np.setxor1d(s, t))
+            assert changed < n or n < 100 or 180 * differ > 20 * (len(s) + len(t))  # unrelated sets are told apart at any size
