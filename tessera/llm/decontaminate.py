@@ -5,20 +5,27 @@ fits it best. Words are maximal runs of ASCII letters, digits and non-ASCII char
 letters lower-cased. A document holds an item when the distance is at most max_edit times the
 item's words.
 
-1. Items are put in classes by their number of words. A window of a class starts at any word.
-   Windows that cannot fit are left out first, without loss: k edits spoil at most 2k word
-   pairs, so most pairs of a window's first words must be pairs of the benchmark. Those are held
-   as a bit map of fixed size, whatever the benchmark's.
-2. A CGK random walk reads each remaining window and each item; it maps a small edit distance
+1. An item of more than PIECE words is cut into even pieces; of an item within the allowed
+   distance at least one piece is within its share of it. Pieces are put in classes by their
+   number of words. A window of a class starts at any word. Windows that cannot fit are left out
+   first, without loss: k edits spoil at most 2k word pairs, so most pairs of a window's first
+   words must be pairs of the benchmark. Those are held as a bit map of fixed size, whatever the
+   benchmark's.
+2. A CGK random walk reads each remaining window and each piece; it maps a small edit distance
    to a small Hamming distance of the walks' outputs. `walks` walks with `samples` samples of
-   `bits` places each give signatures; equal ones, found by a Spark join, make candidates.
-   Without edits the signatures are equal for certain; the defaults find over 0.95 of the
-   passages with 10 % of their words edited.
-3. Candidates are verified exactly by a bit-parallel search of the item in the stretch.
-
-Items of fewer than min_words words are not searched for: as evidence of a leak they are too
-short. Null and empty texts hold nothing; repeated rows give one result; an empty table of
-either kind gives an empty result; other columns are ignored.
+   `bits` places each give signatures. Windows none of whose signatures is in a second bit map
+   of fixed size go; equal signatures, found by a Spark join, make candidates. Without edits
+   the signatures are equal for certain; the tests ask for 0.95 of the passages with 20 % of their
+   words edited, in items of 12 to 200 words.
+3. Items so short that no word of them may be edited (fewer than 1 / max_edit words) need no
+   walk: their words as they stand are the signature, so all are found.
+4. Candidates are verified exactly by a bit-parallel search of the whole item in the stretch of
+   the document that can hold it.
+
+Items of fewer than min_words words (by default, without any) are not searched for. Null and empty
+texts hold nothing; very long texts and items are taken whole; of stretches that fit an item
+equally well the first counts; repeated rows give one result; an empty table of either kind gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,11 +41,13 @@ from tessera.llm import ragged
 from tessera.llm.shared import text_rows, written
 
 BITS = 24
+PIECE = 30
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
+_GRAM = np.uint64(0xA24BAED4963EE407)
 _SEED = np.random.RandomState(104729).randint(0, 2**63, 4096, dtype=np.uint64)
 
 
@@ -111,80 +120,126 @@ def best_fit(item: list[int], text: list[int]) -> tuple[int, int]:
     return best, end
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, max_edit: float = 0.2, min_words: int = 5, walks: int = 6, samples: int = 8, bits: int = 4, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def pieces_of(n: int) -> list[tuple[int, int]]:
+    """(first word, words) of the even pieces of an item of n words."""
+    parts = -(-n // PIECE)
+    cuts = [n * k // parts for k in range(parts + 1)]
+    return [(a, z - a) for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def grams(h: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each n consecutive words."""
+    g = np.zeros(max(0, len(h) - n + 1), np.uint64)
+    for k in range(n):
+        g = ragged.mix(g * _GRAM + h[k : len(h) - n + 1 + k])
+    return g
+
+
+def bit_map(bits: DataFrame) -> np.ndarray:
+    """A map of 2 ** BITS flags, packed, with those set that column bit names: put together in
+    words of 64 by the tasks, so that at most 2 ** (BITS - 6) rows reach the driver."""
+    words = bits.groupBy((F.col("bit").bitwiseAND(F.lit((1 << BITS) - 1)) / 64).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("flags")).toArrow()
+    out = np.zeros(1 << (BITS - 6), np.int64)
+    out[words["word"].to_numpy()] = words["flags"].to_numpy()
+    return out.view(np.uint8)
+
+
+def is_set(flags: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Whether these flags of a packed map are set."""
+    return (flags[bits >> 3] >> (bits & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, max_edit: float = 0.2, min_words: int = 1, walks: int = 6, samples: int = 8, bits: int = 4, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, distance, item_words, end_word, similarity) of every item that a document holds."""
+    spark, low_bits = docs.sparkSession, np.int64((1 << BITS) - 1)
 
     def read_items(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             h, at = words_of(*ragged.buffers(b.column(1)))
-            rows = [k for k in range(b.num_rows) if at[k + 1] - at[k] >= min_words]
-            sigs, pairs, low = [], [], []
+            rows = [k for k in range(b.num_rows) if at[k + 1] - at[k] >= max(1, min_words)]
+            sigs, pairs, windows = [], [], []
             for k in rows:
-                lo, _ = size_class(int(at[k + 1] - at[k]), min_words)
-                low.append(lo)
-                sigs.append(signatures(h, at[k : k + 1], at[k + 1 : k + 2], lo, walks, samples, bits)[0].view(np.int64))
-                pairs.append(np.unique(pair_bits(h[at[k] : at[k + 1]])))
+                own = h[at[k] : at[k + 1]]
+                m = len(own)
+                edits = int(max_edit * m)
+                if not edits:
+                    sigs.append(grams(own, m).view(np.int64).tolist())
+                    windows.append([(-m, 0, m)])
+                    pairs.append([])
+                    continue
+                found, windows_of = [], []
+                for first, n in pieces_of(m):
+                    low, _ = size_class(n, 2)
+                    found.append(signatures(own, np.array([first]), np.array([first + n]), low, walks, samples, bits)[0].view(np.int64))
+                    windows_of.append((low, first + edits, m - first + edits))
+                sigs.append(np.unique(np.concatenate(found)).tolist())
+                windows.append(windows_of)
+                pairs.append(np.unique(pair_bits(own)).tolist())
             yield pa.RecordBatch.from_arrays([
                 b.column(0).take(pa.array(rows, pa.int64())), pa.array([h[at[k] : at[k + 1]].tobytes() for k in rows], pa.binary()),
-                pa.array(low, pa.int64()), pa.array([s.tolist() for s in sigs], pa.list_(pa.int64())), pa.array([p.tolist() for p in pairs], pa.list_(pa.int64())),
-            ], ["item", "words", "low", "sigs", "pairs"])
+                pa.array([[dict(zip(("low", "back", "ahead"), w, strict=True)) for w in x] for x in windows], pa.list_(pa.struct([("low", pa.int64()), ("back", pa.int64()), ("ahead", pa.int64())]))),
+                pa.array(sigs, pa.list_(pa.int64())), pa.array(pairs, pa.list_(pa.int64())),
+            ], ["item", "words", "windows", "sigs", "pairs"])
 
     source = text_rows(benchmark, item_col, item_text_col)
     kind = source.schema["id"].dataType.simpleString()
-    items = written(source.mapInArrow(read_items, f"item {kind}, words binary, low bigint, sigs array<bigint>, pairs array<bigint>"), "items")
-    classes = sorted({size_class(r["low"], min_words) for r in items.select("low").distinct().collect()})  # as many as lengths have powers of 5/4
-    pairs = items.select(F.explode("pairs").alias("bit")).distinct().toArrow()["bit"].to_numpy()  # at most 2 ** BITS
-    flags = np.zeros(1 << BITS, np.uint8)
-    flags[pairs.astype(np.int64)] = 1
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(np.packbits(flags))
+    items = written(source.mapInArrow(ragged.tidy(read_items), f"item {kind}, words binary, windows array<struct<low: bigint, back: bigint, ahead: bigint>>, sigs array<bigint>, pairs array<bigint>"), "items")
+    # classes by window length (of short items, minus that): how far before and behind a window its item may reach
+    classes = [tuple(r) for r in items.select(F.inline("windows")).groupBy("low").agg(F.max("back"), F.max("ahead")).collect()]
+    shared = spark.sparkContext.broadcast((bit_map(items.select(F.explode("pairs").alias("bit"))), bit_map(items.select(F.explode("sigs").alias("bit")))))
+
+    def found_in(h: np.ndarray, at: np.ndarray, pairs: np.ndarray, wanted: np.ndarray) -> Iterator[tuple]:
+        """(first words of windows, their signatures, back, ahead) for each class."""
+        end = np.repeat(at[1:], np.diff(at))
+        hit = np.r_[is_set(pairs, pair_bits(h)) & (end[:-1] == end[1:]), False]
+        sums = np.r_[0, np.cumsum(hit, dtype=np.int64)]
+        every = np.arange(len(h))
+        for low, back, ahead in classes:
+            if low < 0:
+                g = grams(h, -low).view(np.int64)
+                p = np.flatnonzero(is_set(wanted, g & low_bits) & (every[: len(g)] - low <= end[: len(g)]))
+                yield p, g[p][:, None], back, ahead
+                continue
+            k = int(max_edit * (size_class(low, 2)[1]))
+            last = np.minimum(every + low, end)
+            p = every[(sums[np.maximum(last - 1, every)] - sums[every] >= last - every - 1 - 2 * k) & (last - every >= low - k)]
+            for some in np.array_split(p, max(1, len(p) // 20_000)):
+                if len(some):
+                    yield some, signatures(h, some, end[some], low, walks, samples, bits).view(np.int64), back, ahead
 
     def read_docs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.unpackbits(shared.value).view(bool)
+        pairs, wanted = shared.value
         for b in it:
             for lo, _hi, data, offsets in ragged.slices(b.column(1)):
                 h, at = words_of(data, offsets)
-                if len(h) < 2:
+                if not len(h) or not classes:
                     continue
-                hit = known[pair_bits(h)]
-                end = np.repeat(at[1:], np.diff(at))
-                hit &= end[:-1] == end[1:]
-                sums = np.r_[0, np.cumsum(hit, dtype=np.int64)]
                 spans = []
-                for low, high in classes:
-                    k = int(max_edit * high)
-                    p = np.arange(len(h))
-                    last = np.minimum(p + low, end)
-                    p = p[(sums[np.maximum(last - 1, p)] - sums[p] >= last - p - 1 - 2 * k) & (last - p >= low - k) & (last - p > 1)]
-                    if len(p):
-                        spans.append((p, np.full(len(p), low), np.full(len(p), high)))
+                for p, sig, back, ahead in found_in(h, at, pairs, wanted):
+                    good = is_set(wanted, sig & low_bits)
+                    rows = np.flatnonzero(good.any(axis=1))
+                    spans += [(p[r], sig[r][good[r]], back, ahead) for r in rows.tolist()]
                 if not spans:
                     continue
-                p, low, high = (np.concatenate(x) for x in zip(*spans, strict=True))
-                slack = (max_edit * high).astype(np.int64)
+                p = np.array([x[0] for x in spans])
                 row = np.searchsorted(at, p, "right") - 1
-                a, z = np.maximum(p - slack, at[row]), np.minimum(p + high + slack, at[row + 1])
+                a = np.maximum(p - np.array([x[2] for x in spans]), at[row])
+                z = np.minimum(p + np.array([x[3] for x in spans]), at[row + 1])
                 order = np.argsort(a, kind="stable")
-                p, low, row, a, z = p[order], low[order], row[order], a[order], z[order]
+                row, a, z = row[order], a[order], z[order]
                 reach = np.maximum.accumulate(z)
                 cut = np.flatnonzero(np.r_[True, a[1:] >= reach[:-1]])
-                sigs: list[set] = [set() for _ in cut]
-                segment = np.searchsorted(cut, np.arange(len(p)), "right") - 1
-                for width in np.unique(low).tolist():
-                    of = np.flatnonzero(low == width)
-                    for some in np.array_split(of, max(1, len(of) // 20_000)):
-                        got = signatures(h, p[some], at[row[some] + 1], width, walks, samples, bits).view(np.int64)
-                        for s, g in zip(segment[some].tolist(), got, strict=True):
-                            sigs[s].update(g.tolist())
-                start, stop = a[cut], np.r_[reach[cut[1:] - 1], reach[-1]]
+                border = np.r_[cut, len(a)]
+                sigs = [np.unique(np.concatenate([spans[order[k]][1] for k in range(x, y)])).tolist() for x, y in zip(border[:-1].tolist(), border[1:].tolist(), strict=True)]
+                start, stop = a[cut], reach[border[1:] - 1]
                 yield pa.RecordBatch.from_arrays([
                     b.column(0).take(pa.array(lo + row[cut], pa.int64())), pa.array(start - at[row[cut]], pa.int64()),
-                    pa.array([h[x:y].tobytes() for x, y in zip(start, stop, strict=True)], pa.binary()), pa.array([sorted(s) for s in sigs], pa.list_(pa.int64())),
+                    pa.array([h[x:y].tobytes() for x, y in zip(start, stop, strict=True)], pa.binary()), pa.array(sigs, pa.list_(pa.int64())),
                 ], ["id", "start", "words", "sigs"])
 
     texts = text_rows(docs, id_col, text_col)
     kind = texts.schema["id"].dataType.simpleString()
-    stretches = written(texts.mapInArrow(read_docs, f"id {kind}, start bigint, words binary, sigs array<bigint>").withColumn("stretch", F.monotonically_increasing_id()), "stretches")
+    stretches = written(texts.mapInArrow(ragged.tidy(read_docs), f"id {kind}, start bigint, words binary, sigs array<bigint>").withColumn("stretch", F.monotonically_increasing_id()), "stretches")
     met = stretches.select("stretch", F.explode("sigs").alias("sig")).join(items.select("item", F.explode("sigs").alias("sig")), "sig").select("stretch", "item").distinct()
 
     def verify(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,6 +254,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, max_edit: float = 0.2, min
 
     full = met.join(stretches.select("stretch", "id", "start", "words"), "stretch").join(items.select("item", F.col("words").alias("item_of")), "item")
     item_kind = items.schema["item"].dataType.simpleString()
-    found = full.select("id", "item", "start", "words", "item_of").mapInArrow(verify, f"id {kind}, item {item_kind}, distance bigint, item_words bigint, end_word bigint")
+    found = full.select("id", "item", "start", "words", "item_of").mapInArrow(ragged.tidy(verify), f"id {kind}, item {item_kind}, distance bigint, item_words bigint, end_word bigint")
     best = found.groupBy("id", "item").agg(F.min(F.struct("distance", "end_word", "item_words")).alias("m"))
     return best.select(F.col("id").alias(id_col), F.col("item").alias(item_col if item_col != id_col else "item"), "m.distance", "m.item_words", "m.end_word", F.round(1 - F.col("m.distance") / F.col("m.item_words"), 6).alias("similarity"))

@@ -64,3 +64,28 @@ def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "x a b c d e f g h i j")], "doc_id bigint, text string")
     assert find_leaks(docs, items.limit(0)).collect() == []
     assert [tuple(r)[:3] for r in find_leaks(docs, items).collect()] == [(1, 1, 0)]
+
+
+def test_short_items_are_all_found(spark):
+    rnd = random.Random(8)
+    texts = [(k, " ".join(rnd.choice("abcdef") for _ in range(rnd.randrange(0, 12)))) for k in range(150)]
+    items = [(k, " ".join(rnd.choice("abcdef") for _ in range(n))) for k, n in enumerate([1, 2, 2, 3, 3, 4, 4, 4])]
+    got = {(r.doc_id, r.item_id) for r in find_leaks(spark.createDataFrame(texts, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert got == {(d, i) for d, x in texts for i, y in items if distance(words(y), words(x)) == 0} and len(got) > 100
+
+
+def test_recall_near_the_threshold_at_all_lengths(spark):
+    rnd = random.Random(12)
+    vocab = [f"v{k}" for k in range(4000)]
+    for low, high in ((5, 10), (12, 30), (31, 70), (100, 201)):
+        items = [(k, " ".join(rnd.choice(vocab) for _ in range(rnd.randrange(low, high)))) for k in range(100)]
+        docs = []
+        for k, text in items:
+            for _ in range(3):
+                item = words(text)
+                around = [[rnd.choice(vocab) for _ in range(rnd.randrange(60))] for _ in range(2)]
+                docs.append((len(docs), " ".join(around[0] + edited(rnd, item, int(rnd.choice([0.15, 0.2]) * len(item))) + around[1])))
+        true = {(d, d // 3) for d, x in docs if distance(words(items[d // 3][1]), words(x)) <= int(0.2 * len(words(items[d // 3][1])))}
+        got = {(r.doc_id, r.item_id) for r in find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+        print(low, high, len(got & true) / len(true))
+        assert len(true) > 250 and len(got & true) >= 0.95 * len(true)
