@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tessera.llm import ragged
 from tessera.llm.shared import text_rows
 
 # The patterns of the contract, the kinds in its order, and iban after them.
@@ -149,7 +150,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     NAMES = ["id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "scored_spans", "score"]
     rows = text_rows(docs, id_col, text_col)
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(batches, f"id {kind}, " + ", ".join(f"n_{k} bigint" for k in KINDS) + ", base_sha256 string, spans string, scored_spans string, score double").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(ragged.tidy(batches), f"id {kind}, " + ", ".join(f"n_{k} bigint" for k in KINDS) + ", base_sha256 string, spans string, scored_spans string, score double").withColumnRenamed("id", id_col)
 
 
 def redact_column(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -162,6 +163,6 @@ def redact_column(docs: DataFrame, text_col: str = "text") -> DataFrame:
             text = pa.array([None if x is None else redact(x) for x in b.column(at).to_pylist()], b.schema.field(at).type)
             yield pa.RecordBatch.from_arrays([text if k == at else b.column(k) for k in range(b.num_columns)], schema=b.schema)
 
-    return docs.mapInArrow(batches, schema)
+    return docs.mapInArrow(ragged.tidy(batches), schema)
 
 

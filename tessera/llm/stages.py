@@ -1,7 +1,8 @@
 """The stages of the corpus pipeline: (spark, docs, sf_dir) -> DataFrame.
 
 Each works on every row that the stage before kept and, but for the last, returns the columns of
-documents. Null and empty texts have no language and go in the first stage. An empty table goes
+documents, further ones included. Null and empty texts have no language and go in the first stage;
+very long ones are taken whole. Null and shared ids are no reason to go. An empty table goes
 through all stages and gives an empty result.
 """
 
@@ -11,39 +12,64 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.queries import vocabulary
-from tessera.llm.shared import table, written
+from tessera.llm.shared import drop, if_small, settled, table, written
 
-BROADCAST_BYTES = 32 << 20
 
+LEAST_SCORE = 0.3
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs but for these ids, which are broadcast only if their number is measured to be small."""
-    ids = written(ids.select("doc_id").distinct(), "dropped")
-    return docs.join(F.broadcast(ids) if ids.count() * 16 <= BROADCAST_BYTES else ids, "doc_id", "left_anti").select(docs.columns)
+
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a column that tells all rows apart: doc_id itself if no id is null or shared, else
+    a number of its own for each row, in a written table, so that it stays what it is."""
+    rows, ids = docs.agg(F.count(F.lit(1)), F.count_distinct("doc_id")).first()
+    if rows == ids:
+        return docs, "doc_id"
+    key = "row_number"
+    while key in docs.columns:
+        key += "_"
+    return written(docs.withColumn(key, F.monotonically_increasing_id()), "keyed"), key
+
+
+def _without(docs: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """docs but for the rows with these keys."""
+    return docs.join(if_small(gone), key, "left_anti")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts in which no language is identified go."""
+    """Texts whose language the model cannot tell go: those without a letter, and those whose
+    likeliest language has a posterior of LEAST_SCORE at most (two languages that fit equally well
+    have 0.5 each). A null lang becomes the predicted one."""
     from tessera.llm.language import keep_identified, train
 
-    return keep_identified(docs, train(docs, vocabulary("piece_bpe_32k.model"), sample=300))
+    return keep_identified(docs, train(docs, vocabulary("piece_bpe_32k.model"), sample=300), least_score=LEAST_SCORE)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays, once."""
+    """Of each group of near duplicates the document with the smallest id stays, once. Rows without
+    an id, or of which several share one, are told apart by their texts like any other; of a group's
+    rows with equal ids, or with none but such, one stays."""
     from tessera.llm.ngram_join import ngram_jaccard_join
 
-    found = written(ngram_jaccard_join(docs, n=5, percent=80), "groups")
-    kept = _without(docs, found.where("doc_id <> component_id"))
-    repeated = not found.groupBy("doc_id").count().where("count > 1").isEmpty()
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    docs, key = _keyed(docs)
+
+    def others() -> DataFrame:
+        found = ngram_jaccard_join(docs, n=5, percent=80, id_col=key)
+        if key == "doc_id":
+            return found.where("doc_id <> component_id").select(key)
+        found = written(found.join(docs.select(key, F.col("doc_id").alias("of")), key), "groups")
+        first = found.groupBy("component_id").agg(F.min(F.struct(F.col("of").isNull(), "of", key)).alias("m")).select(F.col(f"m.{key}").alias(key))
+        return found.select(key).join(first, key, "left_anti")
+
+    return _without(docs, key, settled(spark, "dropped", others)).select(*(c for c in docs.columns if c != key or key == "doc_id"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go, each by its own text, whatever its id."""
     from tessera.llm.decontaminate import find_leaks
 
-    return _without(docs, find_leaks(docs, table(spark, sf_dir, "benchmark"), max_edit=0.2))
+    docs, key = _keyed(docs)
+    gone = settled(spark, "dropped", lambda: find_leaks(docs, table(spark, sf_dir, "benchmark"), max_edit=0.2, id_col=key).select(key).distinct())
+    return _without(docs, key, gone).select(*(c for c in docs.columns if c != key or key == "doc_id"))
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +90,9 @@ STAGES = [("language", identify_language), ("near_duplicates", drop_near_duplica
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        docs = settled(spark, name, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
+        drop(spark, before)
+        before = docs.inputFiles()[:1]
     return STAGES[-1][1](spark, docs, sf_dir)

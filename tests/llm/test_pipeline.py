@@ -41,3 +41,30 @@ def test_stages_on_planted_rows(spark, tmp_path):
 def test_run_on_tables(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and out.count() > 0
+
+
+def test_rows_with_shared_or_no_ids_are_told_apart_by_their_texts(spark, tmp_path):
+    rnd = random.Random(9)
+    vocab = ["the", "of", "and", "house", "river", "stone", "green", "walk", "morning", "letter", "window", "garden"]
+    texts = [" ".join(rnd.choice(vocab) for _ in range(60)) for _ in range(6)]
+    item = " ".join(rnd.choice(vocab) + "ing" for _ in range(20))
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, texts[0]), (None, texts[1]), (3, texts[2]), (3, texts[3]), (3, texts[2]), (None, texts[0]), (7, texts[4]), (None, texts[4]), (2, texts[4]), (None, texts[5] + " " + item), (3, item)]
+    df = spark.createDataFrame([(k, t, "en", "src", len(t), k, 1) for k, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint, id bigint, component_id int")
+    stage = dict(corpus_pipeline.STAGES)
+    kept = stage["near_duplicates"](spark, df, str(tmp_path))
+    assert kept.columns == df.columns
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.text)
+    want = [(None, texts[0]), (None, texts[1]), (3, texts[2]), (3, texts[3]), (2, texts[4]), (None, texts[5] + " " + item), (3, item)]
+    assert sorted(map(key, kept.collect())) == sorted((k is None, k or 0, t) for k, t in want)
+    clean = stage["decontamination"](spark, kept, str(tmp_path))
+    assert clean.columns == df.columns and sorted(map(key, clean.collect())) == sorted((k is None, k or 0, t) for k, t in want[:5])
+
+
+def test_stages_on_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([(1, "a b c d e f")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint, score double")
+    for name, stage in corpus_pipeline.STAGES:
+        out = written(stage(spark, docs, str(tmp_path)), name)
+        assert out.count() == 0 and (name == "packing" or out.columns == docs.columns)
+        docs = out
