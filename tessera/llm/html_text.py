@@ -9,42 +9,48 @@ the source's side of the cut are content. Where a block's own costs outweigh all
 label is certain, and it enters the flow as a terminal, which leaves the cut unchanged.
 
 Scripts, styles, comments and form controls are never text; character references are decoded;
-white space inside a block becomes one space. Null and empty pages give the empty text;
-unclosed and stray tags are tolerated; repeated rows are extracted each; an empty table gives an
-empty result; other columns are ignored.
+white space inside a block becomes one space. Null and empty pages give the empty text; very long
+pages and any number of unclosed or stray tags take time in proportion; a block whose two labels
+cost the same is boilerplate; repeated rows are extracted each; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import defaultdict, deque
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+# quotes count only behind an equals sign: elsewhere in a tag they are characters like any other
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|[^>])*+)(?:>|\Z)", re.S)
 NAMES = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.I)
 SPACE = re.compile(r"\s+")
 WORD = re.compile(r"[a-z]+")
+HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
+# First words of class names that tell of something else inside or missing.
+ABOUT = frozenset("has have with without no is not hide".split())
 # HTML's void elements, those whose content is not text, and block elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe object svg math select button head canvas audio video".split())
+RAW = frozenset("script style noscript template textarea title iframe object svg select button head canvas audio video".split())
 RAW_TEXT = frozenset("script style title textarea iframe".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+LEAF = frozenset("p li h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = BLOCK - {"li", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "html", "body", "option", "legend"}
 # Weights of the classifier in favour of content (positive) or boilerplate.
-ELEMENT = {"article": 6.0, "main": 4.0, "p": 1.0, "blockquote": 0.5, "pre": 1.0, "figcaption": 0.3, "nav": -14.0, "header": -12.0, "footer": -14.0, "aside": -14.0, "form": -14.0, "menu": -12.0, "dialog": -14.0, "fieldset": -12.0, "address": -2.0, "a": -2.0}
+ELEMENT = {"article": 4.0, "main": 2.5, "p": 1.0, "blockquote": 0.5, "pre": 1.0, "figcaption": 0.3, "nav": -10.0, "header": -9.0, "footer": -10.0, "aside": -10.0, "form": -10.0, "menu": -9.0, "dialog": -10.0, "fieldset": -9.0, "address": -2.0, "a": -2.0}
 GOOD = frozenset("article content main post entry story body text".split())
 BAD = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion promoted nav navbar navigation navi menu menubar breadcrumb breadcrumbs header masthead topbar footer foot bottombar sidebar side aside widget widgets related recommended recommendations share sharing social follow subscribe subscription newsletter signup login comment comments commentlist reply replies respond discussion disqus reviews cookie cookies consent gdpr notice notices notification alert popup modal overlay toolbar pagination pager search skip copyright legal disclaimer tags tagcloud meta outbrain taboola hidden".split()
 )
-BAD_WEIGHT, GOOD_WEIGHT, PRIOR, LINKED, LENGTH, LENGTH_CAP = -14.0, 1.5, -1.0, -4.0, 0.05, 40
-NEXT_TO, SIBLING = 0.6, 0.8
+BAD_WEIGHT, GOOD_WEIGHT, PRIOR, LINKED, LENGTH, LENGTH_CAP = -10.0, 1.5, -1.0, -4.0, 0.05, 40
+NEXT_TO, SIBLING = 1.0, 2.0
 
 
 class Block:
@@ -58,11 +64,13 @@ def _weight(name: str, attributes: str) -> float:
     w = ELEMENT.get(name, 0.0)
     if attributes:
         for m in NAMES.finditer(attributes):
-            key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+            key, given = m[1].lower(), m[2] or m[3] or m[4] or ""
+            value = given.lower()
             if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
                 w += BAD_WEIGHT
             elif key in ("class", "id", "role") and name not in ("html", "body"):
-                words = set(WORD.findall(value))
+                names = (WORD.findall(HUMP.sub(" ", x).lower()) for x in given.split())
+                words = {w for x in names if x and (x[0] not in ABOUT or len(x) == 1) for w in x}
                 if words & BAD or words & {"complementary", "contentinfo"}:
                     w += BAD_WEIGHT
                 elif words & GOOD:
@@ -75,6 +83,13 @@ def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, float, int]] = []  # name, weight with that of all around it, number
     serial, held, linked, in_link, skip = 0, [], 0, 0, None
+    # where each name stands on the stack, and where blocks and blocks that hold blocks do
+    places: dict[str, list[int]] = defaultdict(list)
+    blocks: list[int] = []
+    holders: list[int] = []
+
+    def last(*names: str) -> int:
+        return max((places[n][-1] for n in names if places[n]), default=-1)
 
     def flush() -> None:
         nonlocal linked
@@ -84,8 +99,7 @@ def blocks_of(page: str) -> list[Block]:
                 around = stack[-1][1] if stack else 0.0
                 n = len(text)
                 score = PRIOR + around + LINKED * min(1.0, linked / n) + LENGTH * min(LENGTH_CAP, text.count(" ") + 1)
-                parent = next((s[2] for s in reversed(stack) if s[0] in BLOCK and s[0] not in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6")), -1)
-                out.append(Block(text, score, parent))
+                out.append(Block(text, score, stack[holders[-1]][2] if holders else -1))
             held.clear()
         linked = 0
 
@@ -93,6 +107,10 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal in_link
         for name, _, _ in stack[to:]:
             in_link -= name == "a"
+            places[name].pop()
+        for where in (blocks, holders):
+            while where and where[-1] >= to:
+                where.pop()
         del stack[to:]
 
     at = 0
@@ -136,16 +154,21 @@ def blocks_of(page: str) -> list[Block]:
             if name in BLOCK:
                 flush()
                 if name in CLOSES_P:
-                    k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "p"), None)
-                    if k is not None and not any(s[0] in ("td", "th", "button", "object") for s in stack[k:]):
+                    k = last("p")
+                    if k > last("td", "th"):
                         pop(k)
                 elif name in ("li", "dt", "dd", "tr", "td", "th", "option"):
-                    k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in (name, "ul", "ol", "dl", "table")), None)
-                    if k is not None and stack[k][0] == name:
+                    k = last(name)
+                    if k > last("ul", "ol", "dl", "table"):
                         pop(k)
             serial += 1
             around = (stack[-1][1] if stack else 0.0) + _weight(name, m[3])
             if not m[3].rstrip().endswith("/") or name in BLOCK:
+                places[name].append(len(stack))
+                if name in BLOCK:
+                    blocks.append(len(stack))
+                    if name not in LEAF:
+                        holders.append(len(stack))
                 stack.append((name, around, serial))
                 in_link += name == "a"
         else:
@@ -157,8 +180,8 @@ def blocks_of(page: str) -> list[Block]:
                 continue
             if name in BLOCK:
                 flush()
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-            if k is not None and (name in BLOCK or not any(s[0] in BLOCK for s in stack[k + 1 :])):
+            k = last(name)
+            if k >= 0 and (name in BLOCK or not blocks or blocks[-1] <= k):
                 pop(k)
     flush()
     return out

@@ -65,3 +65,48 @@ def test_pages_keep_the_article_and_nothing_else(spark):
 
         want = " ".join(html.unescape(re.sub(r"<[^>]*>", " ", inner)).split())
         assert main_text(r.html) == want
+
+
+def test_class_names_that_tell_of_something_else():
+    assert main_text('<body><div class="has-sidebar"><article><p>Body text of it.</p></article></div></body>') == "Body text of it."
+    more = "more things here " * 7
+    assert main_text(f'<article><p>One two.</p></article><div class="cookieBanner">{more}</div><div id="sidebarLeft">{more}</div>') == "One two."
+
+
+def test_quotes_inside_values_and_formulas():
+    assert main_text("<article><p title=it's>Kept text</p><p>and isn't lost</p></article>") == "Kept text and isn't lost"
+    assert main_text('<article><p title = "a > b">Kept</p><p data-x=\'"\'>too</p></article>') == "Kept too"
+    assert main_text("<article><p>x <math><mi>y</mi></math> z</p></article>") == "x y z"
+
+
+def test_the_cut_changes_labels():
+    long = "many words of running text that make a paragraph " * 5
+    page = f"<body><div><p>{long}</p><div>Short.</div><p>{long}</p></div><footer><p>a</p><div>{long}</div></footer></body>"
+    blocks = blocks_of(page)
+    alone, cut = [b.score > 0 for b in blocks], min_cut([b.score for b in blocks], edges_of(blocks))
+    assert alone[1] is False and cut[1] is True  # between two paragraphs
+    assert main_text(page) == f"{long.strip()} Short. {long.strip()}"
+    between = [5.0, -0.5, 5.0, -8.0, 0.5, -8.0]
+    edges = {(k, k + 1): 1.0 for k in range(5)}
+    assert min_cut(between, edges) == [True, True, True, False, False, False]
+
+
+def test_unclosed_tags_take_time_in_proportion():
+    began = time.time()
+    assert len(blocks_of("<article>" + "<b><p>text here" * 50_000)) == 50_000
+    assert time.time() - began < 5
+
+
+def test_most_blocks_of_pages_enter_the_flow():
+    import pyarrow.parquet as pq
+
+    entered = total = 0
+    for page in pq.read_table("/root/testdata/sf0.001/pages.parquet")["html"].to_pylist():
+        blocks = blocks_of(page or "")
+        pull = [0.0] * len(blocks)
+        for (a, b), w in edges_of(blocks).items():
+            pull[a] += w
+            pull[b] += w
+        entered += sum(abs(b.score) <= w for b, w in zip(blocks, pull))
+        total += len(blocks)
+    assert entered > 0.3 * total
