@@ -7,7 +7,9 @@ refuses is dropped and not tried again at another start. Offsets are code points
 exclusive. Every pattern runs in time linear in the text: runs are entered only at their
 first character, and email matching starts from each @.
 
-Null and empty texts have no spans; repeated rows are scanned each; other columns are ignored.
+Null and empty texts have no spans; very long texts are scanned whole; spans of different kinds
+may overlap, and each counts; repeated rows are scanned each; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -164,5 +166,3 @@ def redact_column(docs: DataFrame, text_col: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([text if k == at else b.column(k) for k in range(b.num_columns)], schema=b.schema)
 
     return docs.mapInArrow(ragged.tidy(batches), schema)
-
-

@@ -1,3 +1,5 @@
+import hashlib
+import random
 import re
 
 from hypothesis import given, settings
@@ -56,3 +58,25 @@ def test_long_runs_take_linear_time():
     n = 200_000
     for text in ("a" * n + "@", "1" * n + ".", "1." * n, "@a" * n, "+" * n, "+1 " * (n // 3)):
         pii.find(text)
+
+
+def test_every_column_against_the_plain_patterns(spark):
+    rnd = random.Random(5)
+    parts = ["a.b@c.de", "x@y", "10.0.0.255", "1.2.3.456", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (555) 010-9999", "+12", "DE89 3704 0044 0532 0130 00", "DE89 3704 0044 0532 0130 01", "card", "mail", "é日", "@", "+", ".", "7"]
+    rows = [(k, rnd.choice([" ", "", "\n"]).join(rnd.choice(parts) for _ in range(rnd.randrange(9)))) for k in range(400)]
+    rows += [(900, None), (901, ""), (902, "no data"), (903, "a" * 200_000 + "@b.c " + "1" * 2_000 + "." * 2_000), (904, "a.b@c.de"), (904, "a.b@c.de"), (None, "1.2.3.4")]
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id bigint, text string, n_email int, spans string")
+    got = sorted((tuple(r) for r in pii.find_pii(df).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "n_iban", "spans", "score").collect()), key=str)
+    assert len(got) == len(rows)
+    want = {}
+    for k, text in rows:
+        spans = brute(text or "")
+        told = ",".join(f"{a}:{b}:{c}" for a, b, c in spans)
+        want[k] = (*(sum(s[0] == kind for s in spans) for kind in BASE), hashlib.sha256(told.encode()).hexdigest(), told)
+    for r in got:
+        assert r[1:6] == want[r[0]][:5]
+        own = [x for x in r[7].split(",") if x and not x.startswith("iban")]
+        assert ",".join(own) == want[r[0]][5] and len(r[7].split(",")) - (r[7] == "") == sum(r[1:5]) + r[6]
+        assert 0 <= r[8] <= 1 and (r[8] > 0) == (r[7] != "")
+    assert sum(r[6] for r in got) > 20
+    assert pii.find_pii(df.limit(0)).collect() == []
