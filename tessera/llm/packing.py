@@ -42,8 +42,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 WHITE_SPACE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 LETTER, NUMBER, OTHER, SPACE = 0, 1, 2, 3
 SPECIAL = b"<|endoftext|>"
-CACHE, POOL = 300_000, 4 << 20
-SLICE = 2 << 20
+CACHE, POOL = 200_000, 2 << 20
+SLICE = 1 << 20
 
 
 class BytePairs:
