@@ -99,7 +99,7 @@ def operator_names(c: Column) -> Column:
 
 def person_name(c: Column) -> Column:
     """Two to four CJK characters, or one to three with a title."""
-    return c.rlike("^[\\x{4e00}-\\x{9fff}]{2,4}$") | c.rlike("^[\\x{4e00}-\\x{9fff}]{1,3}(工|经理|主管|工程师|先生|女士)$")
+    return c.rlike("^[\\x{4e00}-\\x{9fff}]{2,4}$") | c.rlike("^[\\x{4e00}-\\x{9fff}]{1,3}(工|经理|主任|总监|总工|班长|老师)$")
 
 
 def without_think(c: Column) -> Column:

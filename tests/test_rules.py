@@ -22,7 +22,7 @@ SCHEMAS = {
 @pytest.fixture(scope="module")
 def out(spark):
     data = {
-        "reports": [(1, "UNKNOWN", None, "EVT-100", "王明", ["x"]), (2, "FS-2", None, None, None, ["see fs_2"]), (3, None, None, None, "质量部", ["id fs-abc_77 here"])],
+        "reports": [(1, "UNKNOWN", None, "EVT-100", "王明", ["x"]), (2, "FS-2", None, None, None, ["see fs_2"]), (3, None, None, None, "制造部", ["id fs-abc_77 here"])],
         "events": [(1, "E1", "乙地铁", "A"), (2, "E2", "李强", None)],
         "causes": [(1, "C1", True), (2, "C2a", True), (2, "C2b", True)],
         "actions": [(1, "A1", "D7 防再发", "甲有限公司"), (1, "A2", "replace", None), (2, "A3", "fix", "李强")],
@@ -75,7 +75,7 @@ def test_nothing_is_guessed(out):
 
 def test_organisations(out):
     orgs = {(o[0], o[1], o[3]) for o in out["orgs"]}
-    assert (1, "ORG-JIA", "company") in orgs and (1, "ORG-LOCAL::1::乙地铁", "operator") in orgs and (3, "ORG-LOCAL::3::质量部", "department") in orgs
+    assert (1, "ORG-JIA", "company") in orgs and (1, "ORG-LOCAL::1::乙地铁", "operator") in orgs and (3, "ORG-LOCAL::3::制造部", "department") in orgs
     assert not any(o[0] == 2 for o in out["orgs"]), "generic names are dropped"
     mine = {x for x in out["edges"] if x[3] == "RESPONSIBLE_ORG" and x[1] == "ActionItem"}
     assert mine == {(1, "ActionItem", "A1", "RESPONSIBLE_ORG", "Organization", "ORG-JIA")}
@@ -105,8 +105,26 @@ def test_relation_records(spark):
 
 
 def test_owners_need_evidence(spark):
-    reports = spark.createDataFrame([(1, "R1", "质量部", ["nothing"]), (2, "R2", "质量部", ["责任部门: 质量部"]), (3, "R3", "王明", None), (4, "R4", None, ["owner"])], "doc int, key string, owner_name string, texts array<string>")
-    orgs = spark.createDataFrame([(1, "Q", "质量部"), (2, "Q", "质量部"), (2, "Z", "采购部")], "doc int, key string, name string")
-    assert {(r.doc, r.owner_name) for r in R.owner_gate(reports, orgs).collect()} == {(1, None), (2, "质量部"), (3, "王明"), (4, None)}
+    reports = spark.createDataFrame([(1, "R1", "制造部", ["nothing"]), (2, "R2", "制造部", ["责任部门: 制造部"]), (3, "R3", "王明", None), (4, "R4", None, ["owner"])], "doc int, key string, owner_name string, texts array<string>")
+    orgs = spark.createDataFrame([(1, "Q", "制造部"), (2, "Q", "制造部"), (2, "Z", "采购部")], "doc int, key string, name string")
+    assert {(r.doc, r.owner_name) for r in R.owner_gate(reports, orgs).collect()} == {(1, None), (2, "制造部"), (3, "王明"), (4, None)}
     edges = spark.createDataFrame([(1, "EightDReport", "R1", "RESPONSIBLE_ORG", "Organization", "Q"), (2, "EightDReport", "R2", "RESPONSIBLE_ORG", "Organization", "Q"), (2, "EightDReport", "R2", "RESPONSIBLE_ORG", "Organization", "Z"), (2, "EightDReport", "R2", "ROOT_CAUSE", "CauseItem", "C")], "doc int, from_label string, from_key string, rel_type string, to_label string, to_key string")
     assert {r.to_key for r in R.report_org_edges({"reports": reports, "orgs": orgs}, edges).collect()} == {"Q", "C"}
+
+
+def test_actions_without_an_owner_keep_what_their_text_names(spark):
+    actions = spark.createDataFrame([(1, "A1", "甲公司 replaces it", None, None), (1, "A2", "replace", None, "checked at 甲公司"), (1, "A3", "replace", None, None), (1, "A4", "供应商 checks", "", None), (1, "A5", "甲公司", "somebody", None)], "doc int, key string, title string, owner_name string, evidence string")
+    orgs = spark.createDataFrame([(1, "JIA", "甲公司", "company", 0), (1, "SUP", "乙供应商", "supplier", 1)], "doc int, key string, name string, kind string, ordinal int")
+    edges = spark.createDataFrame([(1, "ActionItem", a, "RESPONSIBLE_ORG", "Organization", o) for a in ("A1", "A2", "A3", "A4", "A5") for o in ("JIA", "SUP")], "doc int, from_label string, from_key string, rel_type string, to_label string, to_key string")
+    got = {(r.from_key, r.to_key) for r in R.action_org_edges({"actions": actions, "orgs": orgs}, edges).collect()}
+    assert got == {("A1", "JIA"), ("A2", "JIA"), ("A4", "SUP")}
+
+
+def test_files_over_the_limit_have_an_error(spark, tmp_path, monkeypatch):
+    from tessera.sources import documents as D
+
+    monkeypatch.setattr(D, "MAX_BYTES", 10)
+    (tmp_path / "a.docx").write_bytes(b"x" * 11)
+    (tmp_path / "b.docx").write_bytes(b"x" * 10)
+    got = {r.path[-6:]: r for r in D.read_files(spark, str(tmp_path)).collect()}
+    assert got["a.docx"].error and got["a.docx"].content is None and got["b.docx"].error is None and len(got["b.docx"].content) == 10
