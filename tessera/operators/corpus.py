@@ -2,25 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 
 MAX_CHARS = 220_000
+BROADCAST_CHARS = 8 << 20
 
 
 def salvage_lines(texts: DataFrame) -> DataFrame:
     """(id, salvaged): lines squeezed and trimmed; kept are first occurrences of 2 to 300 characters of
-    which at least 35 % are letters, digits or CJK, until 220 000 characters are reached."""
-    lines = texts.select("id", F.posexplode(F.split("text", "[\\r\\n\\x0B\\x0C]+")).alias("pos", "line")).withColumn("line", T.strip(F.regexp_replace("line", r"(?U)\s+", " ")))
-    good = F.length(F.regexp_replace("line", r"[^\p{L}\p{N}]", ""))
-    lines = lines.where((F.length("line") >= 2) & (F.length("line") <= 300)).where(good >= 0.35 * F.length("line"))
-    first = lines.groupBy("id", "line").agg(F.min("pos").alias("pos"))
-    size = F.sum(F.length("line") + 1).over(Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
-    kept = first.withColumn("before", F.coalesce(size, F.lit(0))).where(F.col("before") < MAX_CHARS)
-    joined = kept.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda s: s["line"]), "\n").alias("salvaged"))
-    return texts.select("id").join(joined, "id", "left").select("id", F.coalesce("salvaged", F.lit("")).alias("salvaged"))
+    which at least 35 % are letters, digits or CJK, until 220 000 characters are reached. All of it is
+    done within the row, without a shuffle."""
+
+    def good(line: Column) -> Column:
+        letters = F.length(F.regexp_replace(line, r"[^\p{L}\p{N}]", ""))
+        return F.length(line).between(2, 300) & (letters >= 0.35 * F.length(line))
+
+    lines = F.transform(F.split("text", "[\\r\\n\\x0B\\x0C]+"), lambda x: T.strip(F.regexp_replace(x, r"(?U)\s+", " ")))
+    start = F.struct(F.lit(0).cast("bigint").alias("chars"), F.lit(0).alias("n"))
+    step = lambda t, x: F.when(t["chars"] < MAX_CHARS, F.struct((t["chars"] + F.length(x) + 1).alias("chars"), (t["n"] + 1).alias("n"))).otherwise(t)
+    kept = texts.select("id", F.array_distinct(F.filter(lines, good)).alias("lines")).withColumn("n", F.aggregate("lines", start, step)["n"])
+    return kept.select("id", F.coalesce(F.array_join(F.slice("lines", F.lit(1), F.col("n")), "\n"), F.lit("")).alias("salvaged"))
 
 
 def classify_tables(tables: DataFrame, patterns: dict[str, list[str]]) -> DataFrame:
@@ -51,10 +55,12 @@ def contained(texts: DataFrame, aliases: DataFrame, anchor: int = 4) -> DataFram
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"(?U)[\p{L}\p{N}]+"), F.lit(0))
     a = aliases.select("alias_id", words(F.col("text")).alias("aw")).where(F.size("aw") > 0)
     a = a.select("alias_id", "aw", F.least(F.size("aw"), F.lit(anchor)).alias("k")).withColumn("head", F.array_join(F.slice("aw", F.lit(1), F.col("k")), " ")).withColumn("body", F.array_join("aw", " "))
-    sizes = sorted(r["k"] for r in a.select("k").distinct().collect())  # at most `anchor` numbers
+    by_size = a.groupBy("k").agg(F.sum(2 * F.length("body") + 16)).collect()  # at most `anchor` rows
+    sizes, size = sorted(r[0] for r in by_size), sum(r[1] for r in by_size)
+    a = F.broadcast(a) if size <= BROADCAST_CHARS else a  # else both sides are shuffled by head
     t = texts.select("id", words(F.col("text")).alias("tw"))
     runs = F.array_distinct(F.flatten(F.array(*(F.when(F.size("tw") >= k, F.expr(f"transform(sequence(1, size(tw) - {k - 1}), i -> array_join(slice(tw, i, {k}), ' '))")).otherwise(F.array().cast("array<string>")) for k in sizes)))) if sizes else F.array().cast("array<string>")
-    heads = t.select("id", F.explode(runs).alias("head")).join(a.select("alias_id", "head", "body"), "head").select("id", "alias_id", "body")
+    heads = t.select("id", F.explode(runs).alias("head")).join(a.drop("aw", "k"), "head").select("id", "alias_id", "body")
     whole = t.select("id", F.concat(F.lit(" "), F.array_join("tw", " "), F.lit(" ")).alias("line"))
     return heads.join(whole, "id").where(F.col("line").contains(F.concat(F.lit(" "), "body", F.lit(" ")))).select("id", "alias_id").distinct()
 
