@@ -123,3 +123,47 @@ def format_of(content: Column) -> Column:
     """docx, doc or null by the first bytes."""
     head = F.hex(F.substring(content, 1, 8))
     return F.when(head.startswith("504B0304"), "docx").when(head == "D0CF11E0A1B11AE1", "doc")
+
+
+_PATH = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)"
+
+
+def file_name(uri: Column) -> Column:
+    """The last segment of a local:// path or of another URI's path; of a URI without a path its last
+    segment; null if there is none."""
+    last = lambda c: F.nullif(F.regexp_extract(c, "([^/]*)/*$", 1), F.lit(""))
+    path = F.regexp_replace(F.regexp_extract(uri, _PATH, 1), "/+$", "")
+    return F.when(uri.startswith("local://"), last(F.substr(uri, F.lit(9)))).when(path != "", last(path)).otherwise(last(uri))
+
+
+def object_location(uri: Column, scheme: str = "minio") -> Column:
+    """(bucket, key, error) of an object's URI; error says what is missing, and then the others are null."""
+    bucket, path = F.regexp_extract(uri, "^[^:/?#]+://([^/?#]*)", 1), F.regexp_extract(uri, _PATH, 1)
+    found = F.lower(F.regexp_extract(uri, "^([A-Za-z][A-Za-z0-9+.-]*):", 1))
+    error = F.when(uri.isNull() | (found != scheme), "scheme").when(bucket == "", "bucket").when(path.isin("", "/"), "key")
+    return F.struct(F.when(error.isNull(), bucket).alias("bucket"), F.when(error.isNull(), F.regexp_replace(path, "^/+", "")).alias("key"), error.alias("error"))
+
+
+def payload(c: Column, schema: str) -> Column:
+    """A model's answer as a record: think part and one code fence round the whole go, the rest is read
+    as JSON; null if it is none."""
+    return F.from_json(F.regexp_replace(strip(F.regexp_replace(c, r"(?s)<think>.*?</think>", "")), r"(?s)^```(?:json)?\s*\n?(.*?)\n?```\s*$", "$1"), schema, {"mode": "PERMISSIVE"})
+
+
+def time_precision(raw: Column) -> Column:
+    """second, minute, day, month or year: what a raw ISO time says; null if it is none."""
+    forms = [("second", r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}$"), ("minute", r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}$"), ("day", r"^\d{4}-\d{2}-\d{2}$"), ("month", r"^\d{4}-\d{2}$"), ("year", r"^\d{4}$")]
+    out = F.when(F.lit(False), "")
+    for name, pattern in forms:
+        out = out.when(raw.rlike(pattern), name)
+    return out
+
+
+def time_value(raw: Column) -> Column:
+    """The time, where it is known to the day at least; a day is never guessed from a month."""
+    return F.when(time_precision(raw).isin("second", "minute", "day"), raw.try_cast("timestamp_ntz"))
+
+
+def iso(c: Column) -> Column:
+    """A time without zone in ISO form, with the fraction only where there is one."""
+    return F.concat(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss"), F.when(F.date_format(c, "SSSSSS") != "000000", F.date_format(c, ".SSSSSS")).otherwise(""))

@@ -11,9 +11,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.upsert import detach_delete
 from tessera.plans.tables import checkpointed
 
 MAX_DEPTH = 4
+#: A frontier of up to so many node keys (a few MB) is broadcast.
+FRONTIER = 50_000
 NODE_KEY = ["label", "business_key"]
 EDGE_KEY = ["from_label", "from_key", "rel_type", "to_label", "to_key"]
 
@@ -46,17 +49,21 @@ class PropertyGraph:
     def neighbourhood(self, label: str, key: str, depth: int) -> DataFrame:
         """(label, business_key, distance) of the nodes within depth undirected steps of the centre;
         empty if there is no such node. Each step expands only the nodes reached last."""
+        return self.around(self.nodes.where((F.col("label") == label) & (F.col("business_key") == key)), depth)
+
+    def around(self, roots: DataFrame, depth: int) -> DataFrame:
+        """(label, business_key, distance) of the nodes within depth undirected steps of any root. A
+        frontier of at most FRONTIER nodes, which is counted first, is broadcast to the scans of the
+        edges, so that these are not shuffled; a larger one is joined."""
         if not 0 <= depth <= MAX_DEPTH:
             raise ValueError(f"depth must be 0 to {MAX_DEPTH}")
-        reached = self.nodes.where((F.col("label") == label) & (F.col("business_key") == key)).select(*NODE_KEY, F.lit(0).alias("distance"))
-        if depth == 0:
-            return reached
+        reached = roots.select(*NODE_KEY).distinct().withColumn("distance", F.lit(0))
         links = self.symmetric()
         for k in range(1, depth + 1):
-            last = reached.where(F.col("distance") == k - 1)
-            met = last.join(links, NODE_KEY).select(F.col("to_label").alias("label"), F.col("to_key").alias("business_key")).distinct()
-            new = met.join(reached, NODE_KEY, "left_anti").withColumn("distance", F.lit(k))
-            reached = reached.unionByName(new)
+            last = reached.where(F.col("distance") == k - 1).select(*NODE_KEY)
+            few = last.limit(FRONTIER + 1).count() <= FRONTIER
+            met = links.join(F.broadcast(last) if few else last, NODE_KEY, "left_semi").select(F.col("to_label").alias("label"), F.col("to_key").alias("business_key")).distinct()
+            reached = reached.unionByName(met.join(reached, NODE_KEY, "left_anti").withColumn("distance", F.lit(k)))
             if k < depth:
                 reached = checkpointed(reached)
         return reached
@@ -80,6 +87,31 @@ class PropertyGraph:
             raise ValueError("limit must be 1 to 5000")
         return self.business_edges(exclude).withColumn("at", F.coalesce("updated_at", "created_at")).orderBy(F.col("at").desc_nulls_first(), *EDGE_KEY).limit(limit)
 
+    def latest_graph(self, limit: int, exclude: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+        """(nodes, edges): the latest edges and every node that has the key of one of their ends,
+        whatever its label."""
+        e = self.latest(limit, exclude)
+        ends = e.select(F.explode(F.array("from_key", "to_key")).alias("business_key")).distinct()  # at most 2 * 5000
+        return self.nodes.join(F.broadcast(ends), "business_key", "left_semi"), e
+
+    def listing(self, label: str, key: str, rel_types: list[str], then: str) -> DataFrame:
+        """(rel_type, business_key, then_key): what the node is linked to by these types and, where
+        there is one, what that is linked to by the type `then`; ordered."""
+        first = self.edges.where((F.col("from_label") == label) & (F.col("from_key") == key) & F.col("rel_type").isin(rel_types)).select("rel_type", F.col("to_label").alias("label"), F.col("to_key").alias("business_key"))
+        second = self.edges.where(F.col("rel_type") == then).select(F.col("from_label").alias("label"), F.col("from_key").alias("business_key"), F.col("to_key").alias("then_key"))
+        return first.join(second, NODE_KEY, "left").select("rel_type", "business_key", "then_key").orderBy("business_key", "rel_type", "then_key")
+
+    def without_around(self, roots: DataFrame, depth: int = 2, across: bool = False) -> "PropertyGraph":
+        """The graph without the nodes within depth of the roots and their edges. Nodes that other
+        documents share go too, so it is done only where `across` says so."""
+        if not across:
+            raise ValueError("nodes shared with other documents would go too: pass across=True")
+        return PropertyGraph(*detach_delete(self.nodes, self.edges, self.around(roots, depth).select(*NODE_KEY)))
+
+    def most_confident(self, limit: int) -> DataFrame:
+        """A graph's edges cut to the `limit` of highest confidence (a column of edges)."""
+        return self.edges.orderBy(F.col("confidence").desc_nulls_last(), *EDGE_KEY).limit(limit)
+
     def node_counts(self) -> DataFrame:
         return self.nodes.where("business_key IS NOT NULL").groupBy("label").agg(F.count(F.lit(1)).alias("nodes"))
 
@@ -109,3 +141,18 @@ class PropertyGraph:
         e = self.edge_ends().where(F.col("rel_type").isin(rel_types) & F.col("from_label").isin(labels) & F.col("to_label").isin(labels))
         hit = [F.lower(c).contains(keyword.lower()) for c in ("from_key", "to_key", "from_title", "to_title")]
         return e.where(hit[0] | hit[1] | hit[2] | hit[3])
+
+
+def descendants(links: DataFrame, roots: DataFrame, most: int = 50) -> DataFrame:
+    """(root, node, level) of a hierarchy or chain links(parent, child): everything below each root, the
+    root itself at level 0. A node counts once under a root, at its least level, so cycles end. Each
+    level starts from a reliable checkpoint; more than `most` levels raise an error."""
+    reached = checkpointed(roots.select("root", F.col("root").alias("node")).distinct().withColumn("level", F.lit(0)))
+    for level in range(1, most + 1):
+        last = reached.where(F.col("level") == level - 1).select("root", F.col("node").alias("parent"))
+        new = last.join(links, "parent").select("root", F.col("child").alias("node")).distinct().join(reached, ["root", "node"], "left_anti").withColumn("level", F.lit(level))
+        new = checkpointed(new)
+        if new.isEmpty():
+            return reached
+        reached = reached.unionByName(new)
+    raise ValueError(f"more than {most} levels")

@@ -18,6 +18,7 @@ class Entity:
     key: str
     times: tuple[str, ...]
     equals: tuple[str, ...]
+    updated: str | None = None
 
 
 def conditions(entity: Entity, filters: dict[str, object]) -> list[Column]:
@@ -33,12 +34,13 @@ def conditions(entity: Entity, filters: dict[str, object]) -> list[Column]:
 
 
 def structured(df: DataFrame, entity: Entity, filters: dict[str, object], sort_by: str | None = None, descending: bool = True, page: int = 1, page_size: int = 20) -> DataFrame:
-    """One page in a total order: the sort field (null counts as the largest value), then the key."""
+    """One page in a total order: the sort field (null counts as the largest value), then the
+    update time of the entity, latest first, then the key."""
     if page_size < 1 or page_size > 100:
         raise ValueError("page_size must be 1 to 100")
     by = F.col(sort_by or entity.times[0])
     order = by.desc_nulls_first() if descending else by.asc_nulls_last()
-    return matching(df, entity, filters).orderBy(order, entity.key).offset(max(page - 1, 0) * page_size).limit(page_size)
+    return matching(df, entity, filters).orderBy(order, *([F.col(entity.updated).desc_nulls_first()] if entity.updated else []), entity.key).offset(max(page - 1, 0) * page_size).limit(page_size)
 
 
 def matching(df: DataFrame, entity: Entity, filters: dict[str, object]) -> DataFrame:
@@ -61,7 +63,6 @@ def search_entities(nodes: DataFrame, q: str, keys: list[str]) -> DataFrame:
     return hits.select(F.col("label").alias("type"), F.col("business_key").alias("id"), content.alias("content")).withColumn("score", T.score(F.col("content"), T.tokenize(F.lit(q))))
 
 
-
 def merged(entities: DataFrame, chunks: DataFrame, top_k: int) -> DataFrame:
     """Both results by score, each (type, id) once; top_k is held to 1 .. 50."""
     both = entities.unionByName(chunks).where("id IS NOT NULL AND id <> ''")
@@ -73,3 +74,30 @@ def fused(rankings: list[DataFrame], constant: int = 60) -> DataFrame:
     """Reciprocal rank fusion of (id, rank) lists."""
     every = reduce(DataFrame.unionByName, rankings)
     return every.groupBy("id").agg(F.round(F.sum(1.0 / (constant + F.col("rank"))), 9).alias("fused"))
+
+
+def of_type(results: DataFrame, selected: str | None) -> DataFrame:
+    """Search results of the selected type; all of them where none is selected."""
+    return results.where(F.col("type") == selected) if selected else results
+
+
+# What a summary shows of each type.
+SUMMARY_KEYS = {
+    "EightDReport": ["business_key", "report_no", "issue_title", "report_date", "closed_at", "report_status", "owner_name", "confidence", "source_doc_id"],
+    "ProductEvent": ["business_key", "event_id", "event_code", "event_type", "occurred_at", "severity", "symptom", "confidence", "source_doc_id"],
+    "ActionItem": ["business_key", "action_id", "title", "action_type", "status", "owner_name", "due_date", "completed_at", "confidence", "source_doc_id"],
+}
+OTHER_KEYS = ["business_key", "confidence", "source_doc_id"]
+
+
+def type_summary(label: Column, props: Column) -> Column:
+    """The properties that a summary of the type shows, without those that are null, as a map in fixed order."""
+
+    def shown(keys: list[str]) -> Column:
+        names = F.array(*map(F.lit, keys))
+        return F.map_from_arrays(F.filter(names, lambda k: F.try_element_at(props, k).isNotNull()), F.array_compact(F.transform(names, lambda k: F.try_element_at(props, k))))
+
+    out = F.when(F.lit(False), shown(OTHER_KEYS))
+    for kind, keys in SUMMARY_KEYS.items():
+        out = out.when(label == kind, shown(keys))
+    return out.otherwise(shown(OTHER_KEYS))

@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import text as T
+
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep: tuple[str, ...] = ("created_at",)) -> DataFrame:
     """Rows of new overwrite what they carry: a null in new leaves the old value. `keep` columns take
@@ -35,17 +37,28 @@ def merge_properties(old: str, new: str) -> F.Column:
     return F.map_concat(F.map_filter(o, lambda k, _: ~F.map_contains_key(n, k)), n)
 
 
-def merge_nodes(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(label, business_key, props, created_at, updated_at): created on first sight, else properties
-    are overwritten and updated_at is set."""
-    n = new.select("label", "business_key", F.col("props").alias("_props"), F.col("at").alias("_at"))
-    both = old.join(n, ["label", "business_key"], "full_outer")
+def _merged(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    n = new.select(*keys, F.col("props").alias("_props"), F.col("at").alias("_at"))
+    both = old.join(n, keys, "full_outer")
     return both.select(
-        "label", "business_key", merge_properties("props", "_props").alias("props"), F.coalesce("created_at", "_at").alias("created_at"),
+        *keys, merge_properties("props", "_props").alias("props"), F.coalesce("created_at", "_at").alias("created_at"),
         F.when(F.col("created_at").isNotNull() & F.col("_at").isNotNull(), F.col("_at")).otherwise(F.col("updated_at")).alias("updated_at"),
     )
 
 
+def merge_nodes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(label, business_key, props, created_at, updated_at): created on first sight, else properties
+    are overwritten and updated_at is set."""
+    return _merged(old, new, ["label", "business_key"])
+
+
+def merge_edges(old: DataFrame, new: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges by the same rule: new(from_label, from_key, rel_type, to_label, to_key, props, at) are
+    created or overwrite properties where both ends are nodes, else nothing happens. Both sides hold
+    an edge of one type between the same ends at most once."""
+    return _merged(old, with_both_ends(new, nodes), ["from_label", "from_key", "rel_type", "to_label", "to_key"])
+
+
 def with_both_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges whose ends are both nodes."""
     a = nodes.select(F.col("label").alias("from_label"), F.col("business_key").alias("from_key"))
@@ -101,3 +114,29 @@ def next_status(df: DataFrame, action: str) -> DataFrame:
         again = F.col("status").isin("pending", "failed")
         return df.withColumn("accepted", again).withColumn("new_run", F.col("status") == "failed").withColumn("status", F.when(again, "pending").otherwise(F.col("status")))
     raise ValueError(action)
+
+
+def ordered_union(rows: DataFrame, keys: list[str], column: str, ordinal: str) -> DataFrame:
+    """(keys, column): the distinct non-empty values of a group's lists in the order in which they first
+    come. Repeats go before the lists meet, so a hot group holds its distinct values only."""
+    one = rows.select(*keys, ordinal, F.posexplode(column).alias("_pos", "_value")).where("_value <> ''")
+    first = one.groupBy(*keys, "_value").agg(F.min(F.struct(ordinal, "_pos")).alias("_at"))
+    return first.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_value"))), lambda s: s["_value"]).alias(column))
+
+
+def merge_duplicates(rows: DataFrame, keys: list[str], texts: list[str], lists: list[str], ordinal: str) -> DataFrame:
+    """One row per key: of each text the longest (of equals the first by ordinal), of each list the
+    ordered union (empty if there is none), the highest confidence, the first created_at that is set and
+    the latest updated_at. Texts are stripped; blank ones count as none."""
+    shown = rows.withColumns({c: F.nullif(T.strip(F.col(c)), F.lit("")) for c in texts})
+    aggregates = [F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(F.length(c), -F.col(ordinal)))).alias(c) for c in texts]
+    aggregates += [F.max("confidence").alias("confidence"), F.min_by("created_at", F.when(F.col("created_at").isNotNull(), F.col(ordinal))).alias("created_at"), F.max("updated_at").alias("updated_at")]
+    out = shown.groupBy(*keys).agg(*aggregates)
+    for c in lists:
+        out = out.join(ordered_union(rows, keys, c, ordinal), keys, "left").withColumn(c, F.coalesce(c, F.array().cast("array<string>")))
+    return out
+
+
+def duplicate_keys(nodes: DataFrame) -> DataFrame:
+    """(label, business_key, n) of keys that more than one node has: empty where the constraint holds."""
+    return nodes.where("business_key IS NOT NULL").groupBy("label", "business_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")

@@ -112,8 +112,8 @@ def alias_contains_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.contained(load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("alias_id"), "text"))
 
 
-@query("""WITH g AS (SELECT min(doc_id) AS id, text FROM documents GROUP BY text HAVING length(text) >= 16)
-SELECT s.id AS short_id, g.id AS long_id FROM g s JOIN g ON starts_with(g.text, s.text) AND s.id <> g.id""")
+@query("""WITH g AS (SELECT min(doc_id) AS id, text FROM documents GROUP BY text)
+SELECT s.id AS short_id, g.id AS long_id FROM g s JOIN g ON starts_with(g.text, s.text) AND s.id <> g.id AND s.text <> ''""")
 def prefix_theta_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     once = load(spark, sf_dir, "documents").groupBy("text").agg(F.min("doc_id").alias("id"))
     return C.prefix_pairs(once, once)
