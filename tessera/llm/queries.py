@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import filter_audit
+from tessera.llm import conversations, filter_audit, substring_dedup
 from tessera.llm.licenses import duckdb_sql
 from tessera.llm.shared import settled, table
 
@@ -14,6 +15,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {
     "op1_license_scan": duckdb_sql(),
     "op11_filter_audit": filter_audit.duckdb_sql(),
+    "op12_substring_dedup": substring_dedup.duckdb_sql(),
+    "op13_conversation_repair": conversations.duckdb_sql(),
     "op6_ngram_jaccard": """
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
      s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) >= 5 THEN [array_to_string(words[i:i + 4], ' ') for i in range(1, len(words) - 3)] WHEN len(words) > 0 THEN [array_to_string(words, ' ') || ' '] ELSE [] END) AS shingle FROM w),
@@ -119,6 +122,20 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settled(spark, "audit", lambda: filter_audit.audit(filter_audit.failed_filters(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels")))
 
 
+@query
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def digests() -> DataFrame:
+        kept = substring_dedup.without_repeats(table(spark, sf_dir, "documents"))
+        return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+    return settled(spark, "deduplicated", digests)
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return settled(spark, "repair", lambda: conversations.repair_report(table(spark, sf_dir, "conversations")))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
