@@ -73,12 +73,12 @@ def family_code(name: Column, number: Column) -> Column:
 
 def product_key(name: Column, number: Column) -> Column:
     """FP-FAMILY::, FP-PN::, FP-NAME:: or FP-UNKNOWN."""
-    family, pn, nm = family_code(name, number), F.nullif(norm(number), F.lit("")), F.nullif(norm(name), F.lit(""))
+    family, pn, nm = family_code(name, number), F.nullif(F.upper(norm(number)), F.lit("")), F.nullif(F.upper(norm(name)), F.lit(""))
     return F.coalesce(F.concat(F.lit("FP-FAMILY::"), family), F.concat(F.lit("FP-PN::"), pn), F.concat(F.lit("FP-NAME::"), nm), F.lit("FP-UNKNOWN"))
 
 
 def mention_key(scope: Column, name: Column, number: Column, amount: Column, index: Column) -> Column:
-    part = lambda c, none: F.coalesce(F.nullif(norm(c), F.lit("")), F.lit(none))
+    part = lambda c, none: F.coalesce(F.nullif(F.upper(norm(c)), F.lit("")), F.lit(none))
     return F.concat_ws("::", F.lit("FPM"), scope, part(name, "NONAME"), part(number, "NONUM"), part(amount, "NOAMOUNT"), index.cast("string"))
 
 
@@ -92,11 +92,6 @@ def email_key(c: Column) -> Column:
     return F.when(mail.contains("@") & mail.contains("."), F.concat(F.lit("PER::"), mail))
 
 
-def operator_names(c: Column) -> Column:
-    """Distinct operator names in a text."""
-    return F.array_distinct(F.regexp_extract_all(c, F.lit(OPERATOR), F.lit(0)))
-
-
 def person_name(c: Column) -> Column:
     """Two to four CJK characters, or one to three with a title."""
     return c.rlike("^[\\x{4e00}-\\x{9fff}]{2,4}$") | c.rlike("^[\\x{4e00}-\\x{9fff}]{1,3}(工|经理|主任|总监|总工|班长|老师)$")

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 
 MAX_CHARS = 220_000
-BROADCAST_CHARS = 8 << 20
 
 
 def salvage_lines(texts: DataFrame) -> DataFrame:
@@ -48,23 +47,6 @@ def single_chunks(texts: DataFrame, fallback: str = "DOC-") -> DataFrame:
     return texts.select("id", F.concat(report, F.lit("#full_document#0")).alias("chunk_id"), report.alias("report_id"), F.length(body).alias("char_count"), F.size(F.split(body, r"(?U)\s+")).alias("token_count"))
 
 
-def contained(texts: DataFrame, aliases: DataFrame, anchor: int = 4) -> DataFrame:
-    """(id, alias_id) where the alias's words stand consecutively in the text. The alias's first
-    `anchor` words meet the text's runs of as many words in an equi-join; then the whole is compared.
-    Aliases of fewer words are anchored by as many as they have."""
-    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"(?U)[\p{L}\p{N}]+"), F.lit(0))
-    a = aliases.select("alias_id", words(F.col("text")).alias("aw")).where(F.size("aw") > 0)
-    a = a.select("alias_id", "aw", F.least(F.size("aw"), F.lit(anchor)).alias("k")).withColumn("head", F.array_join(F.slice("aw", F.lit(1), F.col("k")), " ")).withColumn("body", F.array_join("aw", " "))
-    by_size = a.groupBy("k").agg(F.sum(2 * F.length("body") + 16)).collect()  # at most `anchor` rows
-    sizes, size = sorted(r[0] for r in by_size), sum(r[1] for r in by_size)
-    a = F.broadcast(a) if size <= BROADCAST_CHARS else a  # else both sides are shuffled by head
-    t = texts.select("id", words(F.col("text")).alias("tw"))
-    runs = F.array_distinct(F.flatten(F.array(*(F.when(F.size("tw") >= k, F.expr(f"transform(sequence(1, size(tw) - {k - 1}), i -> array_join(slice(tw, i, {k}), ' '))")).otherwise(F.array().cast("array<string>")) for k in sizes)))) if sizes else F.array().cast("array<string>")
-    heads = t.select("id", F.explode(runs).alias("head")).join(a.drop("aw", "k"), "head").select("id", "alias_id", "body")
-    whole = t.select("id", F.concat(F.lit(" "), F.array_join("tw", " "), F.lit(" ")).alias("line"))
-    return heads.join(whole, "id").where(F.col("line").contains(F.concat(F.lit(" "), "body", F.lit(" ")))).select("id", "alias_id").distinct()
-
-
 def begins(short: DataFrame, long: DataFrame, width: int = 16) -> DataFrame:
     """(short_id, long_id) where the short text begins the long one. Texts of `width` characters or
     more meet on their first `width`; a shorter text meets the long one's head of its own length.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,12 +12,31 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df from a reliable checkpoint in spark.checkpoint.dir; only where the session has none, as in
-    local tests, a temporary folder is set."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", ""):
+def _folder(spark: SparkSession) -> None:
+    """Sets the checkpoint folder: that of setCheckpointDir, or of spark.checkpoint.dir. A session that names
+    none gets a temporary folder only if its master is this one process, as in tests; on a cluster that is an
+    error, as executors would not share it."""
+    context = spark.sparkContext
+    if context.getCheckpointDir():
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", "")
+    if not folder:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        spark.sparkContext.setCheckpointDir(folder)
+    context.setCheckpointDir(folder)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df from a reliable checkpoint."""
+    _folder(df.sparkSession)
     return df.checkpoint()
+
+
+def all_checkpointed(frames: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The frames from reliable checkpoints, written side by side."""
+    if not frames:
+        return {}
+    _folder(next(iter(frames.values())).sparkSession)
+    with ThreadPoolExecutor(min(8, len(frames))) as pool:
+        return dict(zip(frames, pool.map(lambda df: df.checkpoint(), frames.values()), strict=True))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators import corpus as C
 from tessera.operators import query as Q
+from tessera.operators.substrings import substring_pairs, word_pairs
 from tessera.plans.catalog import query
 from tessera.plans.tables import load
 from tessera.sources.projection import duckdb_graph, graph
@@ -109,7 +110,18 @@ def multi_label_router(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH w AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), ' ') || ' ' AS line FROM documents), b AS (SELECT item_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), ' ') || ' ' AS body FROM benchmark)
 SELECT doc_id AS id, item_id AS alias_id FROM w JOIN b ON contains(line, body)""")
 def alias_contains_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.contained(load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("alias_id"), "text"))
+    return word_pairs(load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pattern_id"), "text")).withColumnRenamed("pattern_id", "alias_id")
+
+
+_NORM = "regexp_replace(lower({}), '[\\s\\-_()（）,.，:：;；]+', '', 'g')"
+
+
+@query(f"""WITH d AS (SELECT doc_id AS id, {_NORM.format("text")} AS line FROM documents), b AS (SELECT item_id AS pattern_id, {_NORM.format("substring(text, 4, 17)")} AS body FROM benchmark)
+SELECT id, pattern_id FROM d JOIN b ON length(body) >= 3 AND contains(line, body)""")
+def substring_contains_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stretches of benchmark texts that begin and end within words, wherever the normal form of a document holds them."""
+    patterns = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pattern_id"), F.substring("text", 4, 17).alias("text"))
+    return substring_pairs(load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), patterns)
 
 
 @query("""WITH g AS (SELECT min(doc_id) AS id, text FROM documents GROUP BY text)

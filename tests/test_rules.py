@@ -1,97 +1,7 @@
-"""Golden scenarios on synthetic reports: edges that must and must not come out."""
-
-import pytest
+"""Relation records and files."""
 
 from tessera.operators import rules as R
 
-SCHEMAS = {
-    "reports": "doc int, key string, report_no string, hint string, owner_name string, texts array<string>",
-    "events": "doc int, key string, reporter_name string, severity string",
-    "causes": "doc int, key string, is_verified boolean",
-    "actions": "doc int, key string, title string, owner_name string",
-    "modes": "doc int, key string",
-    "instances": "doc int, key string",
-    "serials": "doc int, key string, supplier_name string",
-    "orgs": "doc int, key string, name string, kind string, ordinal int",
-    "persons": "doc int, key string, name string, ordinal int",
-    "mentions": "doc int, key string, product_key string",
-    "edges": "doc int, from_label string, from_key string, rel_type string, to_label string, to_key string",
-}
-
-
-@pytest.fixture(scope="module")
-def out(spark):
-    data = {
-        "reports": [(1, "UNKNOWN", None, "EVT-100", "王明", ["x"]), (2, "FS-2", None, None, None, ["see fs_2"]), (3, None, None, None, "制造部", ["id fs-abc_77 here"])],
-        "events": [(1, "E1", "乙地铁", "A"), (2, "E2", "李强", None)],
-        "causes": [(1, "C1", True), (2, "C2a", True), (2, "C2b", True)],
-        "actions": [(1, "A1", "D7 防再发", "甲有限公司"), (1, "A2", "replace", None), (2, "A3", "fix", "李强")],
-        "modes": [(1, "M1"), (2, "M2"), (2, "M3")],
-        "instances": [(1, "I1"), (2, "I2")],
-        "serials": [(1, "S1", "丙供应商"), (2, "S2", None), (2, "S3", None)],
-        "orgs": [(1, "ORG-X", "甲公司", None, 0), (2, "G", "供应商", None, 0)],
-        "persons": [(1, "P1", "王明", 0)],
-        "mentions": [(1, "FPM1", "FP-FAMILY::EP100"), (2, "FPM2", None)],
-        "edges": [
-            (1, "EightDReport", "UNKNOWN", "ROOT_CAUSE", "CauseItem", "C1"),
-            (1, "ActionItem", "A1", "RESPONSIBLE_ORG", "Organization", "ORG-X"),
-            (1, "ActionItem", "A2", "RESPONSIBLE_ORG", "Organization", "ORG-X"),
-            (2, "CauseItem", "C2a", "ROOT_CAUSE", "EightDReport", "FS-2"),
-            (2, "EightDReport", "FS-2", "NO_SUCH_TYPE", "CauseItem", "C2a"),
-            (2, "ActionItem", "A3", "OWNED_BY_PERSON", "Person", "someone"),
-        ],
-    }
-    x = {k: spark.createDataFrame(v, SCHEMAS[k]) for k, v in data.items()}
-    lexicon = spark.createDataFrame([(0, "ORG-JIA", "甲有限公司", "甲公司"), (1, "ORG-JIA", "甲有限公司", "甲有限公司"), (2, "ORG-OTHER", "另", "甲公司")], "ordinal int, code string, org string, alias string")
-    got = R.enrich(x, lexicon)
-    return {k: {tuple(r) for r in v.collect()} for k, v in got.items() if k in ("edges", "orgs", "persons")} | {"reports": {(r.doc, r.key) for r in got["reports"].collect()}}
-
-
-def test_report_keys(out):
-    assert out["reports"] == {(1, "FS-100"), (2, "FS-2"), (3, "FS-ABC-77")}
-
-
-def test_main_line(out):
-    e = out["edges"]
-    for want in [
-        (1, "ProductEvent", "E1", "HAS_8D_REPORT", "EightDReport", "FS-100"), (1, "EightDReport", "FS-100", "ROOT_CAUSE", "CauseItem", "C1"),
-        (1, "EightDReport", "FS-100", "PREVENTIVE_ACTION", "ActionItem", "A1"), (1, "EightDReport", "FS-100", "CORRECTIVE_ACTION", "ActionItem", "A2"),
-        (1, "ActionItem", "A1", "VERIFIES_CAUSE", "CauseItem", "C1"), (1, "ProductEvent", "E1", "RELATED_FAILURE_MODE", "FailureMode", "M1"),
-        (1, "PartSerial", "S1", "INSTALLED_ON", "ProductInstance", "I1"), (1, "EightDReport", "FS-100", "OWNED_BY_PERSON", "Person", "P1"),
-        (1, "FailureProductMention", "FPM1", "INSTANCE_OF_FAILURE_PRODUCT", "FailureProduct", "FP-FAMILY::EP100"),
-        (2, "EightDReport", "FS-2", "ROOT_CAUSE", "CauseItem", "C2a"), (2, "EightDReport", "FS-2", "ROOT_CAUSE", "CauseItem", "C2b"),
-        (2, "ProductEvent", "E2", "REPORTED_BY_PERSON", "Person", "PER-LOCAL::2::李强"), (2, "ActionItem", "A3", "OWNED_BY_PERSON", "Person", "PER-LOCAL::2::李强"),
-    ]:
-        assert want in e, want
-
-
-def test_nothing_is_guessed(out):
-    e = out["edges"]
-    assert not any(x[0] == 2 and x[3] in ("VERIFIES_CAUSE", "RELATED_FAILURE_MODE", "RELATED_SERIAL", "SUPPLIED_BY", "INSTALLED_ON") for x in e)
-    assert not any(x[3] == "REPORTED_BY_PERSON" and x[0] == 1 for x in e), "an organisation as reporter is no person"
-    assert not any(x[3] == "NO_SUCH_TYPE" or x[5] == "someone" or x[2] == "UNKNOWN" for x in e)
-    assert (2, "CauseItem", "C2a", "ROOT_CAUSE", "EightDReport", "FS-2") not in e
-
-
-def test_organisations(out):
-    orgs = {(o[0], o[1], o[3]) for o in out["orgs"]}
-    assert (1, "ORG-JIA", "company") in orgs and (1, "ORG-LOCAL::1::乙地铁", "operator") in orgs and (3, "ORG-LOCAL::3::制造部", "department") in orgs
-    assert not any(o[0] == 2 for o in out["orgs"]), "generic names are dropped"
-    mine = {x for x in out["edges"] if x[3] == "RESPONSIBLE_ORG" and x[1] == "ActionItem"}
-    assert mine == {(1, "ActionItem", "A1", "RESPONSIBLE_ORG", "Organization", "ORG-JIA")}
-
-
-def test_every_edge_is_allowed(out):
-    rules = {(k, a, b) for k, a, b in R.ENDPOINTS}
-    assert all((x[3], x[1], x[4]) in rules for x in out["edges"])
-
-
-def test_severity_needs_evidence(spark):
-    ev = spark.createDataFrame([(1, "a", "A级"), (2, "b", "B级"), (3, "c", "x" * 30)], "doc int, key string, severity string")
-    tx = spark.createDataFrame([(1, "严重等级 A级"), (2, "B级 only"), (3, "等级 " + "x" * 30)], "doc int, text string")
-    assert {(r.doc, r.severity) for r in R.severity_gate(ev, tx).collect()} == {(1, "A级"), (2, None), (3, None)}
-
-
 def test_relation_records(spark):
     raw = [
         (1, {"source_label": " EightDReport", "start_bk": "R", "end_label": "CauseItem", "dst_key": "C", "relationship_type": "direct_cause"}),
@@ -104,22 +14,6 @@ def test_relation_records(spark):
     assert got == {(1, "EightDReport", "R", "ROOT_CAUSE", "CauseItem", "C"), (2, "CauseItem", "C", "MENTIONED_IN", "Chunk", "K")}
 
 
-def test_owners_need_evidence(spark):
-    reports = spark.createDataFrame([(1, "R1", "制造部", ["nothing"]), (2, "R2", "制造部", ["责任部门: 制造部"]), (3, "R3", "王明", None), (4, "R4", None, ["owner"])], "doc int, key string, owner_name string, texts array<string>")
-    orgs = spark.createDataFrame([(1, "Q", "制造部"), (2, "Q", "制造部"), (2, "Z", "采购部")], "doc int, key string, name string")
-    assert {(r.doc, r.owner_name) for r in R.owner_gate(reports, orgs).collect()} == {(1, None), (2, "制造部"), (3, "王明"), (4, None)}
-    edges = spark.createDataFrame([(1, "EightDReport", "R1", "RESPONSIBLE_ORG", "Organization", "Q"), (2, "EightDReport", "R2", "RESPONSIBLE_ORG", "Organization", "Q"), (2, "EightDReport", "R2", "RESPONSIBLE_ORG", "Organization", "Z"), (2, "EightDReport", "R2", "ROOT_CAUSE", "CauseItem", "C")], "doc int, from_label string, from_key string, rel_type string, to_label string, to_key string")
-    assert {r.to_key for r in R.report_org_edges({"reports": reports, "orgs": orgs}, edges).collect()} == {"Q", "C"}
-
-
-def test_actions_without_an_owner_keep_what_their_text_names(spark):
-    actions = spark.createDataFrame([(1, "A1", "甲公司 replaces it", None, None), (1, "A2", "replace", None, "checked at 甲公司"), (1, "A3", "replace", None, None), (1, "A4", "供应商 checks", "", None), (1, "A5", "甲公司", "somebody", None)], "doc int, key string, title string, owner_name string, evidence string")
-    orgs = spark.createDataFrame([(1, "JIA", "甲公司", "company", 0), (1, "SUP", "乙供应商", "supplier", 1)], "doc int, key string, name string, kind string, ordinal int")
-    edges = spark.createDataFrame([(1, "ActionItem", a, "RESPONSIBLE_ORG", "Organization", o) for a in ("A1", "A2", "A3", "A4", "A5") for o in ("JIA", "SUP")], "doc int, from_label string, from_key string, rel_type string, to_label string, to_key string")
-    got = {(r.from_key, r.to_key) for r in R.action_org_edges({"actions": actions, "orgs": orgs}, edges).collect()}
-    assert got == {("A1", "JIA"), ("A2", "JIA"), ("A4", "SUP")}
-
-
 def test_files_over_the_limit_have_an_error(spark, tmp_path, monkeypatch):
     from tessera.sources import documents as D
 
