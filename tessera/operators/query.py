@@ -50,10 +50,11 @@ def matching(df: DataFrame, entity: Entity, filters: dict[str, object]) -> DataF
 
 
 def search_chunks(chunks: DataFrame, q: str, limit: int) -> DataFrame:
-    """(id, snippet, score): texts like %q% (its wildcards hold), newest first, cut, then scored."""
-    hits = chunks.where(F.col("text").ilike(f"%{q}%")).orderBy(F.col("at").desc_nulls_first(), "id").limit(limit)
+    """(type, id, content, score): texts like %q% (its wildcards hold). All of them are scored by what is shown of
+    them; the best stay, of equals the newest."""
     snippet = F.substring("text", 1, 500)
-    return hits.select(F.lit("Chunk").alias("type"), "id", snippet.alias("content"), T.score(snippet, T.tokenize(F.lit(q))).alias("score"))
+    hits = chunks.where(F.col("text").ilike(f"%{q}%")).select(F.lit("Chunk").alias("type"), "id", snippet.alias("content"), T.score(snippet, T.tokenize(F.lit(q))).alias("score"), "at")
+    return hits.orderBy(F.desc("score"), F.col("at").desc_nulls_first(), "id").limit(limit).drop("at")
 
 
 def search_entities(nodes: DataFrame, q: str, keys: list[str]) -> DataFrame:
@@ -70,12 +71,6 @@ def merged(entities: DataFrame, chunks: DataFrame, top_k: int) -> DataFrame:
     return best.orderBy(F.desc("score"), "type", "id").limit(min(max(top_k, 1), 50))
 
 
-def fused(rankings: list[DataFrame], constant: int = 60) -> DataFrame:
-    """Reciprocal rank fusion of (id, rank) lists."""
-    every = reduce(DataFrame.unionByName, rankings)
-    return every.groupBy("id").agg(F.round(F.sum(1.0 / (constant + F.col("rank"))), 9).alias("fused"))
-
-
 def of_type(results: DataFrame, selected: str | None) -> DataFrame:
     """Search results of the selected type; all of them where none is selected."""
     return results.where(F.col("type") == selected) if selected else results

@@ -22,7 +22,7 @@ def _score_sql(text: str, tokens: list[str]) -> str:
     return f"round(least(0.98, 0.35 + 0.6 * (CASE WHEN contains(lower({text}), '{' '.join(tokens)}') THEN least(1.0, {base} + 0.25) ELSE {base} END)), 3)::DOUBLE"
 
 
-_CHUNKS = f"SELECT 'Chunk' AS type, doc_id::VARCHAR AS id, substr(text, 1, 500) AS content, {_score_sql('substr(text, 1, 500)', ['public', 'license'])} AS score FROM (SELECT * FROM documents WHERE text ILIKE '%public license%' ORDER BY n_chars DESC NULLS FIRST, doc_id::VARCHAR LIMIT 30)"
+_CHUNKS = f"SELECT 'Chunk' AS type, doc_id::VARCHAR AS id, substr(text, 1, 500) AS content, {_score_sql('substr(text, 1, 500)', ['public', 'license'])} AS score FROM documents WHERE text ILIKE '%public license%' ORDER BY score DESC, n_chars DESC NULLS FIRST, doc_id::VARCHAR LIMIT 30"
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,18 +52,6 @@ def search_merged_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.merged(_entities(spark, sf_dir), _chunks(spark, sf_dir), 40)
 
 
-@query("""WITH a AS (SELECT doc_id AS id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents QUALIFY rank <= 50), b AS (SELECT doc_id AS id, row_number() OVER (ORDER BY n_chars, doc_id) AS rank FROM documents QUALIFY rank <= 50)
-SELECT id, round(sum(1.0 / (60 + rank)), 9) AS fused FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY id""")
-def rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = load(spark, sf_dir, "documents").select("doc_id", "n_chars")
-
-    def ranked(*order) -> DataFrame:
-        top = d.orderBy(*order).limit(50).agg(F.collect_list("doc_id").alias("ids"))  # a top-50 list
-        return top.select(F.posexplode("ids").alias("pos", "id")).select("id", (F.col("pos") + 1).alias("rank"))
-
-    return Q.fused([ranked(F.desc("n_chars"), "doc_id"), ranked("n_chars", "doc_id")])
-
-
 @query("SELECT sha256(text) AS sha256, min(doc_id) AS doc_id, count(*) AS uploads FROM documents GROUP BY 1")
 def sha256_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("sha256")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("uploads"))

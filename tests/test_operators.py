@@ -88,7 +88,8 @@ def test_corpus_operators(spark):
 def test_search(spark):
     df = spark.createDataFrame([("1", "a 10% rise", 1), ("2", "a 10x rise", 2), ("3", "none", 3)], "id string, text string, at int")
     got = Q.search_chunks(df, "10%", 5)
-    assert [r.id for r in got.collect()] == ["2", "1"], "wildcards hold, newest first"
+    assert [r.id for r in got.collect()] == ["1", "2"], "wildcards hold, best first"
+    assert [r.id for r in Q.search_chunks(df, "rise", 1).collect()] == ["2"], "of equals the newest"
     both = Q.merged(got.limit(0), got.unionByName(got.withColumn("score", F.lit(0.1))), 100)
     assert both.count() == 2
 
