@@ -27,14 +27,16 @@ def new_documents(stream: DataFrame, late: str = "1 hour") -> DataFrame:
     return stream.withColumn("sha256", F.sha2("text", 256)).withWatermark("received_at", late).dropDuplicatesWithinWatermark(["sha256"])
 
 
-def upsert_into(path: str, keys: list[str]):
+def upsert_into(path: str, keys: list[str], order: tuple[str, ...] = ()):
     """For foreachBatch: merges a batch into versions under path, one folder a batch, so that a batch
-    that runs twice writes the same version again."""
+    that runs twice writes the same version again. Of a batch's rows of one key the last by `order`
+    counts, and by all their columns where that leaves a choice."""
 
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         before = f"{path}/v={number - 1}"
-        rows = batch.dropDuplicates(keys)
+        rest = [c for c in batch.columns if c not in keys]
+        rows = batch.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order, *rest)).alias("r")).select(*keys, "r.*") if rest else batch.distinct()
         state = rows if number == 0 else upsert(spark.read.parquet(before), rows, keys)
         state.write.mode("overwrite").parquet(f"{path}/v={number}")
 
