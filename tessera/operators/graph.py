@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.temporal import holding
 from tessera.operators.upsert import detach_delete
 from tessera.plans.tables import checkpointed
 
@@ -108,10 +109,58 @@ class PropertyGraph:
             raise ValueError("nodes shared with other documents would go too: pass across=True")
         return PropertyGraph(*detach_delete(self.nodes, self.edges, self.around(roots, depth).select(*NODE_KEY)))
 
+    def confident(self, label: str, key: str, depth: int, max_nodes: int = 200, min_confidence: float = 0.0, exclude: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+        """(nodes, edges) of the best `max_nodes` nodes around a centre: nodes(label, business_key, confidence, hops),
+        confidence being the highest product of the edges' (null counts as 1) over paths of at most depth steps, either
+        way. Nodes whose own confidence (a column of nodes, if there is one) is below min_confidence, or whose label is
+        excluded, are not walked through.
+
+        Every step goes on from the best max_nodes reached so far, by confidence, then hops, then label and key. What
+        is cut there cannot be on the way to a better node: no path is better than its beginning."""
+        if not 0 <= depth <= MAX_DEPTH or not 1 <= max_nodes <= 5000:
+            raise ValueError(f"depth must be 0 to {MAX_DEPTH}, max_nodes 1 to 5000")
+        passable = self.nodes.where(~F.col("label").isin(*exclude)) if exclude else self.nodes
+        if "confidence" in passable.columns and min_confidence > 0:
+            passable = passable.where(F.coalesce("confidence", F.lit(1.0)) >= min_confidence)
+        e = self.edges.select(F.col("from_label").alias("label"), F.col("from_key").alias("business_key"), F.col("to_label").alias("_label"), F.col("to_key").alias("_key"), F.coalesce("confidence", F.lit(1.0)).alias("_by"))
+        back = e.select(F.col("_label").alias("label"), F.col("_key").alias("business_key"), F.col("label").alias("_label"), F.col("business_key").alias("_key"), "_by")
+        links = e.unionByName(back)
+        best = checkpointed(passable.where((F.col("label") == label) & (F.col("business_key") == key)).select(*NODE_KEY, F.lit(1.0).alias("confidence"), F.lit(0).alias("hops")))
+        for step in range(1, depth + 1):
+            front = F.broadcast(best.where(F.col("hops") == step - 1))  # max_nodes rows at most
+            met = links.join(front, NODE_KEY).groupBy(F.col("_label").alias("label"), F.col("_key").alias("business_key")).agg(F.max(F.col("confidence") * F.col("_by")).alias("confidence"))
+            met = met.join(passable.select(*NODE_KEY), NODE_KEY, "left_semi").withColumn("hops", F.lit(step))
+            both = best.unionByName(met).groupBy(*NODE_KEY).agg(F.max(F.struct("confidence", -F.col("hops"))).alias("b"))
+            best = both.select(*NODE_KEY, F.col("b.confidence").alias("confidence"), (-F.col("b.col2")).alias("hops"))
+            best = checkpointed(best.orderBy(F.desc("confidence"), "hops", *NODE_KEY).limit(max_nodes))
+        keys = F.broadcast(best.select(*NODE_KEY))
+        return best, self.induced(keys)
+
+    def neighbours(self, label: str, key: str, direction: str = "both", rel_types: list[str] | None = None, depth: int = 1, limit: int = 50) -> DataFrame:
+        """(label, business_key, distance) of the nodes one or two steps along edges of these types in a direction
+        (in, out or both), nearest first, then by label and key."""
+        if direction not in ("in", "out", "both") or depth not in (1, 2) or limit < 1:
+            raise ValueError("direction must be in, out or both, depth 1 or 2, limit positive")
+        e = self.edges.where(F.col("rel_type").isin(rel_types)) if rel_types else self.edges
+        out = e.select(F.col("from_label").alias("label"), F.col("from_key").alias("business_key"), "to_label", "to_key")
+        into = e.select(F.col("to_label").alias("label"), F.col("to_key").alias("business_key"), F.col("from_label").alias("to_label"), F.col("from_key").alias("to_key"))
+        links = {"out": out, "in": into, "both": out.unionByName(into)}[direction]
+        reached = checkpointed(self.nodes.where((F.col("label") == label) & (F.col("business_key") == key)).select(*NODE_KEY).withColumn("distance", F.lit(0)))
+        for step in range(1, depth + 1):
+            last = reached.where(F.col("distance") == step - 1).select(*NODE_KEY)
+            few = last.limit(FRONTIER + 1).count() <= FRONTIER
+            met = links.join(F.broadcast(last) if few else last, NODE_KEY, "left_semi").select(F.col("to_label").alias("label"), F.col("to_key").alias("business_key")).distinct()
+            reached = checkpointed(reached.unionByName(met.join(reached, NODE_KEY, "left_anti").withColumn("distance", F.lit(step))))
+        return reached.where("distance > 0").orderBy("distance", *NODE_KEY).limit(limit)
+
     def most_confident(self, limit: int) -> DataFrame:
         """A graph's edges cut to the `limit` of highest confidence (a column of edges)."""
         return self.edges.orderBy(F.col("confidence").desc_nulls_last(), *EDGE_KEY).limit(limit)
 
+    def as_of(self, at: Column, confirmed: bool = False) -> "PropertyGraph":
+        """The graph with the edges that hold at a time; see temporal.holding. All reads work on it."""
+        return PropertyGraph(self.nodes, holding(self.edges, at, confirmed))
+
     def node_counts(self) -> DataFrame:
         return self.nodes.where("business_key IS NOT NULL").groupBy("label").agg(F.count(F.lit(1)).alias("nodes"))
 

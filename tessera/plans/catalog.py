@@ -23,4 +23,4 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
     return register
 
 
-from tessera.plans import chunk_queries, graph_queries, ranking_queries, record_queries, rule_queries, text_queries, writer_queries  # noqa: E402, F401
+from tessera.plans import chunk_queries, finding_queries, graph_queries, ranking_queries, record_queries, rule_queries, state_queries, text_queries, writer_queries  # noqa: E402, F401

@@ -9,7 +9,7 @@ from tessera.operators.components import chains, latest_keys
 from tessera.operators.ranking import fused, nearest, search, text_index
 from tessera.operators.similar import similar_entities
 from tessera.plans.catalog import query
-from tessera.plans.tables import load
+from tessera.plans.tables import load, python_path
 
 
 def _bm25(queries: str, k: int) -> str:
@@ -32,6 +32,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    python_path(spark)
     return load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
 
 

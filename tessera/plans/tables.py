@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 from concurrent.futures import ThreadPoolExecutor
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,6 +14,15 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def python_path(spark: SparkSession) -> None:
+    """Lets Python workers on this machine find the package where this file is; on a cluster it is installed
+    or shipped like any other."""
+    root = str(Path(__file__).resolve().parents[2])
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
+
+
 def _folder(spark: SparkSession) -> None:
     """Sets the checkpoint folder: that of setCheckpointDir, or of spark.checkpoint.dir. A session that names
     none gets a temporary folder only if its master is this one process, as in tests; on a cluster that is an
