@@ -3,7 +3,9 @@
 The pre-tokens of a batch lie in one ragged numpy array of symbol ids. In every round each
 pre-token's best pair (highest score, leftmost on ties) is merged, all pre-tokens at once;
 those without a mergeable pair leave. What survives is counted. Equal pre-tokens of a slice
-are merged once, and a bounded cache keeps counts of those seen before.
+are merged once, and a bounded cache keeps counts of those seen before. A pre-token of more
+than LONG characters (text without spaces) is an array of its own, in which all places of the
+lowest rank are merged at once.
 
 The rules are those of a sentencepiece BPE model without a normaliser that changes
 characters: a space is put before a text, spaces become U+2581, pairs are merged by the
@@ -19,6 +21,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +35,7 @@ from tessera.llm.shared import text_rows
 SPACE = "▁"
 CACHE = 400_000
 SLICE = 2 << 20
+LONG = 512
 NONE = np.iinfo(np.int32).max
 # Texts that a normaliser or another treatment of spaces would change.
 PROBES = ("a  b ", " a", "\ta\nb", "ﬁ Ａ１ ½", "e\u0301 é", "\u200b\u3000x", "ＡＢＣ ｶﾞ", "A b C", "<s> </s>", "\x00\ufeff")
@@ -89,11 +93,21 @@ class PieceMerger:
         code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
         size = np.fromiter(map(len, words), np.int64, len(words))
         word = np.repeat(np.arange(len(words)), size)
-        ids = self.first[code]
+        ids = self.first[code].copy()
         lost = ids < 0
         if lost.any():  # byte fallback: a character outside the vocabulary costs its bytes
             c = code[lost]
             out += np.bincount(word[lost], weights=np.where(c < 0x80, 1, np.where(c < 0x800, 2, np.where(c < 0x10000, 3, 4))), minlength=len(words)).astype(np.int64)
+        long = size > LONG
+        if long.any():  # one after another: each of them is an array large enough
+            begin = np.cumsum(size) - size
+            for k in np.flatnonzero(long).tolist():
+                left = self._merged(ids[begin[k] : begin[k] + size[k]])
+                out[k] += self._weights(left).sum()
+            rest = ~long[word]
+            ids, word = ids[rest], word[rest]
+            if not len(ids):
+                return out
         at = np.full(len(ids), -1, np.int32)  # of the pair that each symbol forms with the next
         if len(ids) > 1:
             same = word[1:] == word[:-1]
@@ -106,7 +120,7 @@ class PieceMerger:
             live = np.repeat(best < NONE, span)
             if not live.all():  # these pre-tokens are done: count what is left of them
                 done = ~live & (ids >= 0)
-                out += np.bincount(word[done], weights=np.where(ids[done] < self.size, 1, [len(chr(c).encode()) for c in self._chars(ids[done])] if (ids[done] >= self.size).any() else 1), minlength=len(words)).astype(np.int64)
+                out += np.bincount(word[done], weights=self._weights(ids[done]), minlength=len(words)).astype(np.int64)
                 ids, word, at, rank = ids[live], word[live], at[live], rank[live]
                 span, best = span[best < NONE], best[best < NONE]
                 if not len(ids):
@@ -127,6 +141,78 @@ class PieceMerger:
                 at[q] = self._pairs(ids[q], ids[q + 1])
             at[-1] = -1
 
+    def _weights(self, ids: np.ndarray) -> np.ndarray:
+        """Tokens of each symbol that no pair took: a character that is no piece costs its bytes."""
+        return np.where(ids < self.size, 1, [len(chr(c).encode()) for c in self._chars(ids)] if (ids >= self.size).any() else 1)
+
+    def _merged(self, ids: np.ndarray) -> np.ndarray:
+        """The symbols that are left of one long pre-token, without those that are not in the vocabulary.
+
+        Symbols are linked to their neighbours, places wait under the rank of the pair that begins there, and
+        the lowest rank's places are merged at once, from the left and without overlaps, as one by one would.
+        That is so unless a merge makes a pair of a rank as low, which would come before the next; then only
+        the first is done. Work is in proportion to merges, not to rounds times length."""
+        n = len(ids)
+        ids, alive = np.append(ids, -1), np.ones(n + 1, bool)
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        after[n], alive[n] = n, False
+        at = np.full(n + 1, -1, np.int32)
+        at[: n - 1] = self._pairs(ids[: n - 1], ids[1:n])
+        waiting: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def wait(places: np.ndarray) -> None:
+            places = places[at[places] >= 0]
+            if not len(places):
+                return
+            r = self.rank[at[places]]
+            order = np.argsort(r, kind="stable")
+            r, places = r[order], places[order]
+            cut = np.flatnonzero(np.r_[True, r[1:] != r[:-1]]).tolist()
+            for a, b in zip(cut, [*cut[1:], len(r)], strict=True):
+                one = int(r[a])
+                if one not in waiting:
+                    waiting[one] = []
+                    heapq.heappush(ranks, one)
+                waiting[one].append(places[a:b])
+
+        def rank_of(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+            pair = self._pairs(left, right)
+            return np.where(pair >= 0, self.rank[pair], NONE)
+
+        wait(np.arange(n))
+        while ranks:
+            lowest = heapq.heappop(ranks)
+            places = np.unique(np.concatenate(waiting.pop(lowest)))
+            places = places[alive[places] & (at[places] >= 0)]
+            places = places[self.rank[at[places]] == lowest]
+            if not len(places):
+                continue
+            # of a run of places each of which begins where the last one ends, every second is taken
+            tied = np.r_[False, after[places[:-1]] == places[1:]]
+            head = np.flatnonzero(~tied)
+            taken = places[(np.arange(len(places)) - np.repeat(head, np.diff(np.r_[head, len(places)]))) % 2 == 0]
+            made, right = self.made[at[taken]], after[taken]
+            if len(taken) > 1:
+                last, next_ = before[taken], after[right]
+                beside = np.r_[False, taken[1:] == after[right[:-1]]]  # the last merge ends where this one begins
+                least = np.minimum(rank_of(np.where(last >= 0, ids[last], -1), made), rank_of(made, ids[next_]))
+                least[beside] = np.minimum(least[beside], rank_of(made[np.flatnonzero(beside) - 1], made[beside]))
+                if least.min() <= lowest:
+                    waiting[lowest] = [taken[1:]]
+                    heapq.heappush(ranks, lowest)
+                    taken, made, right = taken[:1], made[:1], right[:1]
+            ids[taken] = made
+            alive[right] = False
+            beyond = after[right]
+            after[taken], before[beyond] = beyond, taken
+            changed = np.unique(np.concatenate([taken, before[taken]]))
+            changed = changed[changed >= 0]
+            at[changed] = np.where(after[changed] < n, self._pairs(ids[changed], ids[after[changed]]), -1)
+            wait(changed)
+        left = ids[:n][alive[:n]]
+        return left[left >= 0]
+
     def _chars(self, ids: np.ndarray) -> list[int]:
         where = {int(self.first[c]): int(c) for c in np.flatnonzero(self.first >= self.size)}
         return [where.get(int(i), 97) for i in ids]

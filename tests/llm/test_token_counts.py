@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -70,3 +71,23 @@ def test_models_that_change_characters_are_refused():
         finally:
             token_counts.SPACE, token_counts.PROBES = "▁", kept
             token_counts._MERGERS.clear()
+
+
+def test_long_texts_without_spaces():
+    rnd = random.Random(4)
+    sp = LIBRARY
+    pieces = [p for p in (sp.id_to_piece(i).replace("▁", "") for i in range(sp.get_piece_size())) if p and p[0] != "<"]
+    make = {
+        "letters": lambda n: "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=n)), "one": lambda n: "a" * n, "three": lambda n: "".join(rnd.choices("abn", k=n)), "digits": lambda n: "".join(rnd.choices("01", k=n)),
+        "cjk": lambda n: "".join(chr(rnd.randrange(0x4E00, 0x9FFF)) for _ in range(n)), "pieces": lambda n: "".join(rnd.choices(pieces, k=n))[:n], "mixed": lambda n: "".join(rnd.choices(["the", "ing", "日本", "é", "==", "😀", "x1", "\n"], k=n))[:n],
+    }
+    texts = [f(n) for f in make.values() for n in (token_counts.LONG, token_counts.LONG + 1, 2000, 9000)]
+    texts.append(" ".join(texts[:3]) + " short words " + texts[9])
+    assert token_counts.count_column(pa.array(texts), MODEL).tolist() == [len(sp.encode(t)) for t in texts]
+    took = []
+    for n in (20_000, 160_000):
+        t = make["letters"](n)
+        began = time.time()
+        assert int(token_counts.count_column(pa.array([t]), MODEL)[0]) == len(sp.encode(t))
+        took.append(time.time() - began)
+    assert took[1] < 8 * 3 * max(took[0], 0.2), took  # in proportion to the length
