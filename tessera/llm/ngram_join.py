@@ -28,7 +28,7 @@ are paired posting by posting, under the same bounds, and verified from the text
 
 Texts without words have the empty set and no links; null counts as empty; repeated rows are
 linked; rows that share an id count as one vertex, whatever their texts, and rows without an id
-as none; very long texts are taken whole, one at a time if need be; an empty table gives an empty
+as none, so that they link with nothing, not even their copies, and have no component; very long texts are taken whole, one at a time if need be; an empty table gives an empty
 result; other columns are ignored. Ids are integers.
 """
 
@@ -271,7 +271,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     lists = settled(rows.sparkSession, "lists", lambda: _one_of_equal(_postings(texts, n, percent, hot, rank, buckets)))
     comp = _linked(lists, rows, classes, n, percent)
     out = _members(sets, classes, comp)
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id")).alias("component_id"))
 
 
 def _hot(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -307,7 +307,8 @@ def _linked(lists: DataFrame, rows: DataFrame, classes: DataFrame, n: int, perce
         if not members:
             break
         now = written(now.join(if_small(size.select("shingle")), "shingle", "left_semi"), "mixed-lists") if comp is not None else now
-        last = turn == ROUNDS or pairs_at_most <= SPREAD * members or turn > 1 and members > FALL * before
+        # at every size the first turn is a pivot's: later ones derive from its answers
+        last = turn == ROUNDS or turn > 0 and pairs_at_most <= SPREAD * members or turn > 1 and members > FALL * before
         before = members
         seen, cross = known, last
 

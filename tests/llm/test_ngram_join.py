@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 
+from tessera.llm import ngram_join
 from tessera.llm.ngram_join import _packed, ngram_jaccard_join, parity
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -72,6 +73,38 @@ def test_one_large_group_of_near_copies(spark):
     assert result(spark.createDataFrame(rows, "doc_id bigint, text string")) == brute(rows)
 
 
+def test_a_pivots_answers_settle_pairs(spark, monkeypatch):
+    """Groups of near copies and all documents: what the pivots' answers leave to compare, against a run without them."""
+    rnd = random.Random(10)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    for g in range(6):
+        base = [f"g{g}w{k}" for k in range(150)]
+        for k in range(60):
+            w = list(base)
+            for _ in range(rnd.choice([0, 1, 2, 6])):
+                w[rnd.randrange(len(w))] = f"x{rnd.randrange(10**6)}"
+            rows.append((10_000 + 100 * g + k, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4).cache()
+    compared, real = [], ngram_join._verified
+
+    def counting(pairs, texts, n):
+        compared.append(pairs.count())
+        return real(pairs, texts, n)
+
+    monkeypatch.setattr(ngram_join, "_verified", counting)
+    with_answers, first = result(df), list(compared)
+    compared.clear()
+    monkeypatch.setattr(ngram_join, "ROUNDS", 0)
+    assert result(df) == with_answers
+    assert len(first) > 1 and sum(first) < 0.5 * sum(compared), (first, compared)
+
+
+def test_rows_without_an_id_link_with_nothing(spark):
+    text = " ".join(f"w{k}" for k in range(100))
+    df = spark.createDataFrame([(5, text), (None, text), (None, text + " more"), (6, text + " more")], "doc_id bigint, text string")
+    assert sorted(((r.doc_id, r.component_id) for r in ngram_jaccard_join(df).collect()), key=str) == [(5, 5), (6, 5), (None, None), (None, None)]
+
+
 def test_empty_table_and_clashing_names(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string, n int, component string, id string")
     assert result(df) == []
