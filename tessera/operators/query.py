@@ -22,14 +22,15 @@ class Entity:
 
 
 def conditions(entity: Entity, filters: dict[str, object]) -> list[Column]:
-    """Filters of the entity as predicates; those of other entities and empty ones are ignored."""
+    """Filters of the entity as predicates; those of other entities and empty ones are ignored. Times that are
+    texts are read as such; a text that is no time is in no range."""
     out = []
     for f in entity.times:
         low, high = filters.get(f"{f}_from"), filters.get(f"{f}_to")
         if low:
-            out.append(F.col(f) >= F.lit(low).cast("timestamp_ntz"))
+            out.append(F.col(f).try_cast("timestamp_ntz") >= F.lit(low).cast("timestamp_ntz"))
         if high:
-            out.append(F.col(f) <= F.lit(high).cast("timestamp_ntz"))
+            out.append(F.col(f).try_cast("timestamp_ntz") <= F.lit(high).cast("timestamp_ntz"))
     return out + [F.col(f) == F.lit(filters[f]) for f in entity.equals if filters.get(f) not in (None, "")]
 
 
@@ -38,7 +39,8 @@ def structured(df: DataFrame, entity: Entity, filters: dict[str, object], sort_b
     update time of the entity, latest first, then the key."""
     if page_size < 1 or page_size > 100:
         raise ValueError("page_size must be 1 to 100")
-    by = F.col(sort_by or entity.times[0])
+    field = sort_by or entity.times[0]
+    by = F.col(field).try_cast("timestamp_ntz") if field in entity.times else F.col(field)
     order = by.desc_nulls_first() if descending else by.asc_nulls_last()
     return matching(df, entity, filters).orderBy(order, *([F.col(entity.updated).desc_nulls_first()] if entity.updated else []), entity.key).offset(max(page - 1, 0) * page_size).limit(page_size)
 
@@ -49,6 +51,16 @@ def matching(df: DataFrame, entity: Entity, filters: dict[str, object]) -> DataF
     return df
 
 
+def runs_page(runs: DataFrame, documents: DataFrame, page: int = 1, page_size: int = 20) -> DataFrame:
+    """One page of runs(run_id, document_id, started_at, ...), newest first, each with its document's file_name,
+    where there is one. The page is cut before the join: documents(document_id, file_name) hold an id once."""
+    if page_size < 1 or page_size > 200:
+        raise ValueError("page_size must be 1 to 200")
+    order = [F.col("started_at").desc_nulls_last(), F.col("run_id")]
+    cut = runs.orderBy(*order).offset(max(page - 1, 0) * page_size).limit(page_size)
+    return documents.select("document_id", "file_name").join(F.broadcast(cut), "document_id", "right").select(*runs.columns, "file_name").orderBy(*order)
+
+
 def search_chunks(chunks: DataFrame, q: str, limit: int) -> DataFrame:
     """(type, id, content, score): texts like %q% (its wildcards hold). All of them are scored by what is shown of
     them; the best stay, of equals the newest."""

@@ -31,6 +31,20 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep: tuple[str, ...
     return both.select(*out)
 
 
+def upsert_documents(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(documents, ids) after new documents(document_id, sha256, status, file_size, updated_at, ...) have come. A
+    content that is there keeps its row and id and takes status, size and time; of new rows with one content the first
+    by id makes the row, the last by time and id gives those three. ids(document_id, sha256, kept_id) leads each new
+    row to the id under which its content is kept."""
+    told = ["status", "file_size", "updated_at"]
+    rest = [c for c in old.columns if c not in ("sha256", *told)]
+    first = new.groupBy("sha256").agg(F.min_by(F.struct(*rest), "document_id").alias("f"), F.max_by(F.struct(*told), F.struct("updated_at", "document_id")).alias("t"))
+    both = old.join(first, "sha256", "full_outer")
+    kept = both.select("sha256", *(F.when(F.col("document_id").isNull(), F.col(f"f.{c}")).otherwise(F.col(c)).alias(c) for c in rest), *(F.when(F.col("t").isNotNull(), F.coalesce(f"t.{c}", c)).otherwise(F.col(c)).alias(c) for c in told))
+    ids = new.select("document_id", "sha256").join(kept.select("sha256", F.col("document_id").alias("kept_id")), "sha256")
+    return kept.select(old.columns), ids.select("document_id", "sha256", "kept_id")
+
+
 def merge_properties(old: str, new: str) -> F.Column:
     """A property map with new's keys over old's (map_concat refuses equal keys)."""
     o, n = F.coalesce(old, F.create_map().cast("map<string,string>")), F.coalesce(new, F.create_map().cast("map<string,string>"))

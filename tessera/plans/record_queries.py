@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import upsert as U
+from tessera.operators import query as Q
 from tessera.operators.query import Entity, matching, structured
 from tessera.plans.catalog import query
 from tessera.plans.tables import load
@@ -158,3 +159,28 @@ def usage_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cancel_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = load(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "O", "pending").when(F.col("o_orderstatus") == "P", "running").otherwise(F.col("o_orderstatus")).alias("status"), F.lit(None).cast("boolean").alias("cancelled"))
     return U.next_status(runs, "cancel").select("o_orderkey", "status", "accepted")
+
+
+@query("SELECT e.event_id AS run_id, e.user_id AS document_id, ts AS started_at, source AS file_name FROM events e LEFT JOIN documents ON doc_id = user_id + 60 ORDER BY ts DESC, event_id LIMIT 50 OFFSET 50")
+def runs_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page of runs, newest first, with the files of those documents that are known."""
+    runs = load(spark, sf_dir, "events").select(F.col("event_id").alias("run_id"), F.col("user_id").alias("document_id"), F.col("ts").alias("started_at"))
+    d = load(spark, sf_dir, "documents").select((F.col("doc_id") - 60).alias("document_id"), F.col("source").alias("file_name"))
+    return Q.runs_page(runs, d, 2, 50)
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderdate BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1996-06-01' ORDER BY o_orderdate DESC, o_orderkey LIMIT 60")
+def structured_text_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range of times that are texts, a third of which are none."""
+    o = load(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.when(F.col("o_orderkey") % 3 == 0, "soon").otherwise(F.col("o_orderdate").cast("string")).alias("o_orderdate"))
+    return structured(o, REPORT, {"o_orderdate_from": "1995-01-01", "o_orderdate_to": "1996-06-01"}, page_size=60).select("o_orderkey")
+
+
+@query("""WITH old AS (SELECT min(doc_id) AS document_id, sha256(text) AS sha256, 'done' AS status, min(n_chars) AS file_size FROM documents WHERE doc_id % 2 = 0 GROUP BY text),
+new AS (SELECT min(doc_id) AS document_id, sha256(text) AS sha256, arg_max(lang, doc_id) AS status, arg_max(n_chars, doc_id) AS file_size FROM documents GROUP BY text)
+SELECT coalesce(old.document_id, new.document_id) AS document_id, sha256, new.status AS status, new.file_size AS file_size FROM new LEFT JOIN old USING (sha256)""")
+def upsert_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents come where every second content is known already."""
+    d = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.sha2("text", 256).alias("sha256"), F.col("lang").alias("status"), F.col("n_chars").alias("file_size"), F.lit("2024-01-01").cast("timestamp").alias("updated_at"))
+    old = d.where("document_id % 2 = 0").groupBy("sha256").agg(F.min("document_id").alias("document_id"), F.lit("done").alias("status"), F.min("file_size").alias("file_size"), F.lit("2023-01-01").cast("timestamp").alias("updated_at"))
+    return U.upsert_documents(old, d)[0].select("document_id", "sha256", "status", "file_size")

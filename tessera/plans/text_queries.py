@@ -10,7 +10,7 @@ from tessera.operators import corpus as C
 from tessera.operators import query as Q
 from tessera.operators.substrings import substring_pairs, word_pairs
 from tessera.plans.catalog import query
-from tessera.plans.tables import load
+from tessera.plans.tables import load, python_path
 from tessera.sources.projection import duckdb_graph, graph
 
 WORDS = {"D2": ["license", "under"], "D4": ["token", "root cause", "@"], "D5": ["555-", "action"]}
@@ -76,9 +76,9 @@ def norm_text_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "part").groupBy(T.norm(F.concat("p_type", F.lit(" ("), "p_brand", F.lit(")"))).alias("norm")).agg(F.count(F.lit(1)).alias("parts"))
 
 
-@query("""WITH l AS (SELECT doc_id, unnest(string_split_regex(text, '[\\r\\n\\x0B\\x0C]+')) AS line, generate_subscripts(string_split_regex(text, '[\\r\\n\\x0B\\x0C]+'), 1) AS pos FROM documents),
+@query("""WITH l AS (SELECT doc_id, unnest(string_split_regex(text, '[\\r\\n\\x0B\\x0C\\x07\\t]+')) AS line, generate_subscripts(string_split_regex(text, '[\\r\\n\\x0B\\x0C\\x07\\t]+'), 1) AS pos FROM documents),
 s AS (SELECT doc_id, pos, trim(regexp_replace(line, '\\s+', ' ', 'g')) AS line FROM l),
-g AS (SELECT doc_id, line, min(pos) AS pos FROM s WHERE length(line) BETWEEN 2 AND 300 AND length(regexp_replace(line, '[^\\p{L}\\p{N}]', '', 'g')) >= 0.35 * length(line) GROUP BY doc_id, line),
+g AS (SELECT doc_id, line, min(pos) AS pos FROM s WHERE length(line) BETWEEN 2 AND 300 AND length(regexp_replace(line, '[^A-Za-z0-9\\x{4e00}-\\x{9fff}]', '', 'g')) >= greatest(1, 0.35 * length(line)) AND NOT regexp_matches(line, '^[-_=*·. ]*$|(?i:^(?:DOCPROPERTY|MERGEFORMAT|HYPERLINK|PAGEREF)\\b)|(?i:^Toc\\d+$)') GROUP BY doc_id, line),
 r AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM g),
 j AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS salvaged FROM r WHERE before < 220000 GROUP BY doc_id)
 SELECT d.doc_id AS id, coalesce(salvaged, '') AS salvaged FROM documents d LEFT JOIN j USING (doc_id)""")
@@ -112,10 +112,13 @@ def substring_contains_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_pairs(load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), patterns)
 
 
-@query("""WITH g AS (SELECT min(doc_id) AS id, text FROM documents GROUP BY text)
+@query("""WITH d AS (SELECT doc_id, text FROM documents UNION ALL SELECT doc_id + 1000000000, substr(text, 1, 5 + doc_id % 40) FROM documents WHERE doc_id % 10 = 0), g AS (SELECT min(doc_id) AS id, text FROM d GROUP BY text)
 SELECT s.id AS short_id, g.id AS long_id FROM g s JOIN g ON starts_with(g.text, s.text) AND s.id <> g.id AND s.text <> ''""")
 def prefix_theta_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    once = load(spark, sf_dir, "documents").groupBy("text").agg(F.min("doc_id").alias("id"))
+    """Texts, and the beginnings of every tenth."""
+    d = load(spark, sf_dir, "documents").select("doc_id", "text")
+    heads = d.where("doc_id % 10 = 0").select(F.col("doc_id") + 1_000_000_000, F.expr("substring(text, 1, CAST(5 + doc_id % 40 AS INT))"))
+    once = d.union(heads).groupBy("text").agg(F.min("doc_id").alias("id"))
     return C.prefix_pairs(once, once)
 
 
@@ -132,7 +135,30 @@ def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1).alias("host"), F.length(F.regexp_replace(path, "[^/]", "")).cast("bigint").alias("depth"), F.col("url").contains("?").alias("query_keys"))
 
 
-@query("""SELECT doc_id AS id, 'DOC-' || lpad(doc_id::VARCHAR, 8, '0') || '#full_document#0' AS chunk_id, length(regexp_replace(text, '^\\s+|\\s+$', '', 'g'))::BIGINT AS char_count FROM documents WHERE nullif(regexp_extract(substr(text, 1, 2000), '(?i)(?:FS|8D|RPT)[-_]?[A-Z0-9][A-Z0-9\\-_/]{3,}', 0), '') IS NULL""")
+@query("""SELECT doc_id AS id, 'DOC-' || doc_id || '#full_document#0' AS chunk_id, length(regexp_replace(text, '^\\s+|\\s+$', '', 'g'))::BIGINT AS char_count FROM documents WHERE nullif(regexp_extract(substr(text, 1, 2000), '(?i)(?:FS|8D|RPT)[-_]?[A-Z0-9][A-Z0-9\\-_/]{3,}', 0), '') IS NULL""")
 def single_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = C.single_chunks(load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
     return c.where(F.col("report_id").startswith("DOC-")).select("id", "chunk_id", F.col("char_count").cast("bigint").alias("char_count"))
+
+
+@query("""WITH t AS (SELECT doc_id AS doc, source, coalesce(text, '') AS text, CASE doc_id % 4 WHEN 0 THEN ['D5 '] WHEN 1 THEN ['x', '根因 tree'] WHEN 2 THEN ['full_document'] ELSE ['other'] END AS path, CASE WHEN doc_id % 7 = 0 THEN 'action' WHEN doc_id % 5 = 0 THEN 'evidence' END AS role FROM documents),
+w AS (SELECT doc % 50 AS doc, doc % 4 = 0 OR role = 'action' OR ((doc % 4 = 2 OR role = 'evidence') AND text ILIKE '%license%') AS d5, doc % 4 = 1 OR ((doc % 4 = 2 OR role = 'evidence') AND text ILIKE '%token%') AS d4 FROM t)
+SELECT doc, 'base' || CASE WHEN bool_or(coalesce(d4, false)) THEN ',D4' ELSE '' END || CASE WHEN bool_or(coalesce(d5, false)) THEN ',D5' ELSE '' END AS modules FROM w GROUP BY doc""")
+def report_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Modules that the chunks of fifty reports ask for, by role, section or text."""
+    d = load(spark, sf_dir, "documents")
+    path = F.when(F.col("doc_id") % 4 == 0, F.array(F.lit("D5 "))).when(F.col("doc_id") % 4 == 1, F.array(F.lit("x"), F.lit("根因 tree"))).when(F.col("doc_id") % 4 == 2, F.array(F.lit("full_document"))).otherwise(F.array(F.lit("other")))
+    role = F.when(F.col("doc_id") % 7 == 0, "action").when(F.col("doc_id") % 5 == 0, "evidence")
+    chunks = d.select((F.col("doc_id") % 50).alias("doc"), path.alias("section_path"), role.alias("chunk_role"), "text")
+    asked = {"D4": (None, ["D4"], ["根因"], ["token"]), "D5": ("action", ["D5"], ["措施"], ["license"])}
+    return C.report_modules(chunks, ["base"], asked).select("doc", F.array_join("modules", ",").alias("modules"))
+
+
+@query("""SELECT doc_id AS id, trim(substr(regexp_replace(lower(text), '[^a-z]+', ' ', 'g'), 1, 200)) AS salvaged FROM documents WHERE length(trim(substr(regexp_replace(lower(text), '[^a-z]+', ' ', 'g'), 1, 200))) > 1""")
+def salvaged_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line of every text as the bytes of a legacy file, with noise round it and half a character behind: it comes
+    out alone."""
+    python_path(spark)
+    line = F.substring(F.regexp_replace(F.lower("text"), "[^a-z]+", " "), 1, 200)
+    content = F.concat(F.encode(F.concat(F.lit("-- ==\r\x13 HYPERLINK x\x07Toc12\r"), line, F.lit("\r...\x01\x0b"), line), "UTF-16LE"), F.unhex(F.lit("00D8")))
+    return C.salvage_files(load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), content.alias("content"))).where("salvaged <> ''")

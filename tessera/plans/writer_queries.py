@@ -159,7 +159,7 @@ def merge_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""WITH p AS (SELECT *, upper(coalesce(nullif(regexp_extract(p_name, '([A-Za-z]{1,8}\d{2,}[A-Za-z0-9-]*)', 1), ''), nullif(regexp_extract(p_brand, '([A-Za-z]{1,8}\d{2,}[A-Za-z0-9-]*)', 1), ''))) AS f, CASE WHEN p_size > 20 THEN p_name END AS nm FROM part),
 k AS (SELECT *, upper(coalesce(nullif(regexp_extract(nm, '([A-Za-z]{1,8}\d{2,}[A-Za-z0-9-]*)', 1), ''), nullif(regexp_extract(p_brand, '([A-Za-z]{1,8}\d{2,}[A-Za-z0-9-]*)', 1), ''))) AS fam FROM p),
-m AS (SELECT *, coalesce('FP-FAMILY::' || fam, 'FP-PN::' || nullif(regexp_replace(lower(p_brand), '[\s\-_(),.:;]+', '', 'g'), '')) AS product_key FROM k),
+m AS (SELECT *, coalesce('FP-FAMILY::' || fam, 'FP-PN::' || nullif(regexp_replace(upper(p_brand), '[\s\-_(),.:;]+', '', 'g'), '')) AS product_key FROM k),
 g AS (SELECT product_key, arg_min(coalesce(nm, p_brand), p_partkey) AS canonical_name, arg_min(nm, p_partkey) FILTER (nm IS NOT NULL) AS name, list_distinct(list(nm)) AS names, array_to_string(list_sort(list(DISTINCT p_brand)), ',') AS numbers, max(p_retailprice) AS confidence FROM m GROUP BY 1),
 c AS (SELECT product_key, string_agg(p_type, ',' ORDER BY place) AS chunks FROM (SELECT product_key, p_type, min(p_partkey) AS place FROM m GROUP BY ALL) GROUP BY 1)
 SELECT product_key, canonical_name, name, array_to_string(list_sort(list_distinct(list_append(names, canonical_name))), ',') AS aliases, numbers, chunks, confidence FROM g JOIN c USING (product_key)""")
