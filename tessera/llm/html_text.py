@@ -49,7 +49,10 @@ GOOD = frozenset("article content main post entry story body text".split())
 BAD = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion promoted nav navbar navigation navi menu menubar breadcrumb breadcrumbs header masthead topbar footer foot bottombar sidebar side aside widget widgets related recommended recommendations share sharing social follow subscribe subscription newsletter signup login comment comments commentlist reply replies respond discussion disqus reviews cookie cookies consent gdpr notice notices notification alert popup modal overlay toolbar pagination pager search skip copyright legal disclaimer tags tagcloud meta outbrain taboola hidden".split()
 )
-BAD_WEIGHT, GOOD_WEIGHT, PRIOR, LINKED, LENGTH, LENGTH_CAP = -10.0, 1.5, -1.0, -4.0, 0.05, 40
+# Words that say only where or what sort of box an element is, and words of readers' answers.
+WHERE = frozenset("site page global top bottom left right main primary secondary wrapper wrap container box block area list item inner outer section div col row js the my id no".split())
+ANSWERS = frozenset("comment comments commentlist reply replies respond discussion disqus reviews".split())
+BAD_WEIGHT, WEAK_WEIGHT, GOOD_WEIGHT, PRIOR, BARE_PRIOR, LINKED, LINKED_IN_ARTICLE, LENGTH, LENGTH_CAP = -10.0, -3.0, 1.5, -1.0, 0.5, -4.0, -2.5, 0.05, 40
 NEXT_TO, SIBLING = 1.0, 2.0
 
 
@@ -60,34 +63,46 @@ class Block:
         self.text, self.score, self.parent = text, score, parent
 
 
-def _weight(name: str, attributes: str) -> float:
-    w = ELEMENT.get(name, 0.0)
-    if attributes:
-        for m in NAMES.finditer(attributes):
-            key, given = m[1].lower(), m[2] or m[3] or m[4] or ""
-            value = given.lower()
-            if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
+def _weight(name: str, attributes: str) -> tuple[float, float]:
+    """(weight, loose): what an element and its attributes say of the text in it. `loose` is the part that class
+    words say which might as well name a subject ("comment-policy", "category-social"): an article is not
+    judged by them."""
+    w, loose = ELEMENT.get(name, 0.0), 0.0
+    for m in NAMES.finditer(attributes) if attributes else ():
+        key, given = m[1].lower(), m[2] or m[3] or m[4] or ""
+        value = given.lower()
+        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
+            w += BAD_WEIGHT
+        elif key in ("class", "id", "role") and name not in ("html", "body"):
+            names = [set(x) for x in (WORD.findall(HUMP.sub(" ", x).lower()) for x in given.split()) if x and (x[0] not in ABOUT or len(x) == 1)]
+            words = set().union(*names)
+            if words & {"complementary", "contentinfo"} or any(x & BAD and _plain(x) for x in names):
                 w += BAD_WEIGHT
-            elif key in ("class", "id", "role") and name not in ("html", "body"):
-                names = (WORD.findall(HUMP.sub(" ", x).lower()) for x in given.split())
-                words = {w for x in names if x and (x[0] not in ABOUT or len(x) == 1) for w in x}
-                if words & BAD or words & {"complementary", "contentinfo"}:
-                    w += BAD_WEIGHT
-                elif words & GOOD:
-                    w += GOOD_WEIGHT
-    return w
+            elif words & BAD:
+                loose += WEAK_WEIGHT if any(x <= GOOD | BAD | WHERE for x in names if x & BAD) or name in ("article", "main") else BAD_WEIGHT
+            elif words & GOOD:
+                w += GOOD_WEIGHT
+    return w, loose
+
+
+def _plain(words: set[str]) -> bool:
+    """Whether the words of a name that tells of boilerplate tell of nothing else."""
+    return words <= BAD | WHERE or bool(words & ANSWERS) and words <= BAD | WHERE | GOOD
 
 
 def blocks_of(page: str) -> list[Block]:
     """The blocks of a page in order, with the classifier's score."""
     out: list[Block] = []
-    stack: list[tuple[str, float, int]] = []  # name, weight with that of all around it, number
+    stack: list[tuple[str, float, int, float]] = []  # name, weight with that of all around it, number, loose weight
     serial, held, linked, in_link, skip = 0, [], 0, 0, None
     # where each name stands on the stack, and where blocks and blocks that hold blocks do
     places: dict[str, list[int]] = defaultdict(list)
     blocks: list[int] = []
     holders: list[int] = []
 
+    inside = 0  # articles that are open
+    bare: list[Block] = []  # blocks of which nothing but their own words tells anything
+
     def last(*names: str) -> int:
         return max((places[n][-1] for n in names if places[n]), default=-1)
 
@@ -96,17 +111,20 @@ def blocks_of(page: str) -> list[Block]:
         if held:
             text = SPACE.sub(" ", "".join(held)).strip()
             if text:
-                around = stack[-1][1] if stack else 0.0
+                around = stack[-1][1] + stack[-1][3] if stack else 0.0
                 n = len(text)
-                score = PRIOR + around + LINKED * min(1.0, linked / n) + LENGTH * min(LENGTH_CAP, text.count(" ") + 1)
+                score = PRIOR + around + (LINKED_IN_ARTICLE if inside else LINKED) * min(1.0, linked / n) + LENGTH * min(LENGTH_CAP, text.count(" ") + 1)
                 out.append(Block(text, score, stack[holders[-1]][2] if holders else -1))
+                if around == 0 and not linked:
+                    bare.append(out[-1])
             held.clear()
         linked = 0
 
     def pop(to: int) -> None:
-        nonlocal in_link
-        for name, _, _ in stack[to:]:
+        nonlocal in_link, inside
+        for name, *_ in stack[to:]:
             in_link -= name == "a"
+            inside -= name == "article"
             places[name].pop()
         for where in (blocks, holders):
             while where and where[-1] >= to:
@@ -162,15 +180,21 @@ def blocks_of(page: str) -> list[Block]:
                     if k > last("ul", "ol", "dl", "table"):
                         pop(k)
             serial += 1
-            around = (stack[-1][1] if stack else 0.0) + _weight(name, m[3])
+            own, loose = _weight(name, m[3])
+            around = (stack[-1][1] if stack else 0.0) + own
+            if name not in ("article", "main"):
+                loose += stack[-1][3] if stack else 0.0
+            else:
+                loose = 0.0
             if not m[3].rstrip().endswith("/") or name in BLOCK:
                 places[name].append(len(stack))
                 if name in BLOCK:
                     blocks.append(len(stack))
                     if name not in LEAF:
                         holders.append(len(stack))
-                stack.append((name, around, serial))
+                stack.append((name, around, serial, loose))
                 in_link += name == "a"
+                inside += name == "article"
         else:
             if skip is not None:
                 if name == skip[0]:
@@ -184,6 +208,9 @@ def blocks_of(page: str) -> list[Block]:
             if k >= 0 and (name in BLOCK or not blocks or blocks[-1] <= k):
                 pop(k)
     flush()
+    if len(bare) == len(out) or not any(b.score > 0 for b in out):  # nothing on the page is marked as text: plain blocks are
+        for b in bare:
+            b.score += BARE_PRIOR - PRIOR
     return out
 
 

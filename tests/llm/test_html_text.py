@@ -2,6 +2,8 @@ import itertools
 import random
 import time
 
+import pytest
+
 from tessera.llm.html_text import edges_of, blocks_of, extract_text, main_text, min_cut
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p><p>no";</script></head>
@@ -110,3 +112,25 @@ def test_most_blocks_of_pages_enter_the_flow():
         entered += sum(abs(b.score) <= w for b, w in zip(blocks, pull))
         total += len(blocks)
     assert entered > 0.3 * total
+
+
+LONG = "This is a paragraph of an article with quite a few words in it, enough to be taken for text by anyone."
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f'<article id="comment-policy"><h1>Our policy</h1><p>{LONG}</p></article>', f"Our policy {LONG}"),
+        (f'<div class="category-social"><article><p>{LONG}</p></article></div>', LONG),
+        (f'<div class="header-sticky"><article><p>{LONG}</p></article></div>', LONG),
+        ("<body><div>Only a few plain words here.</div></body>", "Only a few plain words here."),
+        (f"<article><p>{LONG} See:</p><ul><li><a href=x>First link</a></li><li><a href=y>Second one</a></li><li><a href=z>Third one</a></li></ul></article>", f"{LONG} See: First link Second one Third one"),
+        (f'<article><p>{LONG}</p><section id="comments"><article class="comment"><p>{LONG} Not this.</p></article></section></article>', LONG),
+        (f'<div class="sidebar"><article><p>{LONG} Not this.</p></article></div><article><p>{LONG}</p></article>', LONG),
+        (f'<div class="comment-list"><div class="comment-body"><p>{LONG}</p></div></div>', ""),
+        (f'<div class="related-posts"><p>{LONG} Not this.</p></div><article><p>{LONG}</p></article>', LONG),
+        (f'<div class="site-header"><p>{LONG}</p></div>', ""),
+    ],
+)
+def test_names_of_boxes_and_of_subjects(page, text):
+    assert main_text(page) == text
