@@ -9,8 +9,8 @@ columns: what the pieces that reach into the next block need is carried over and
 that words of any length are summed over all their segmentations in bounded memory.
 
 The sample takes about `sample` rows of each language (all of a smaller one), chosen by a hash of
-the id, from rows whose crc32(id) mod 4 is not 2 and whose label is not null; words of more than
-FIT_LETTERS letters are left out of the sample. Everything else covers all rows and words.
+the id, from rows whose crc32(id) mod 4 is not 2 and whose label is not null. Everything else covers
+all rows and words.
 
 A text that is null or has no letter is `und` with score 0; so is every text if no row is
 labelled. Of languages that fit equally well the first by name is predicted. Repeated rows are
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tessera.llm import ragged
 
 START = "▁"
-FIT_LETTERS = 40
+AREA = 1 << 21
 BLOCK = 32
 CACHE = 500_000
 CHUNK = 8_000
@@ -133,28 +133,50 @@ class Lattice:
         return out
 
     def expected(self, words: list[str], times: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """Expected counts of the pieces in short words that occur `times`, for one language p."""
-        counts, every, p = np.zeros(self.size + 2), Words(words), p.ravel()
-        for lo in range(0, len(words), CHUNK):
-            rows = slice(lo, min(lo + CHUNK, len(words)))
-            size, each = every.size[rows], np.arange(rows.stop - lo)
+        """Expected counts of the pieces in words that occur `times`, for one language p. Sums are kept within
+        range by a logarithm of their own for each column, so words may be of any length."""
+        counts, every, p, k = np.zeros(self.size + 2), Words(words), p.ravel(), self.longest
+        lo = 0
+        while lo < len(words):
+            hi = min(lo + CHUNK, len(words))
+            while hi > lo + 1 and (hi - lo) * int(every.size[hi - 1]) > AREA:
+                hi = lo + (hi - lo) // 2
+            rows = slice(lo, hi)
+            size, each = every.size[rows], np.arange(hi - lo)
             width = int(size[-1])
             at = self.of(every, rows, 0, width)
             a, b = np.zeros((len(each), width + 1)), np.zeros((len(each), width + 1))
+            log_a, log_b = np.zeros(a.shape), np.zeros(b.shape)
             a[:, 0] = b[each, size] = 1.0
             for j in range(1, width + 1):
-                for n in range(1, min(j, self.longest) + 1):
+                log_a[:, j] = log_a[:, j - 1]
+                for n in range(1, min(j, k) + 1):
                     a[:, j] += a[:, j - n] * p[at[n - 1][:, j - n]]
+                if j % k == 0:
+                    _within_range(a, log_a, slice(max(0, j - k + 1), j + 1))
             for j in range(width - 1, -1, -1):
-                for n in range(1, min(self.longest, width - j) + 1):
+                log_b[:, j] = log_b[:, j + 1]
+                for n in range(1, min(k, width - j) + 1):
                     b[:, j] += p[at[n - 1][:, j]] * b[:, j + n]
-            scale = times[every.order[rows]] / a[each, size]
-            for n in range(1, min(self.longest, width) + 1):
+                if (width - j) % k == 0:
+                    _within_range(b, log_b, slice(j, min(width, j + k - 1) + 1))
+            scale, whole = times[every.order[rows]] / a[each, size], log_a[each, size][:, None]
+            for n in range(1, min(k, width) + 1):
                 pid = at[n - 1][:, : width - n + 1]
-                counts += np.bincount(pid.ravel(), weights=(a[:, : width - n + 1] * p[pid] * b[:, n:] * scale[:, None]).ravel(), minlength=self.size + 2)
+                far = np.exp(np.minimum(log_a[:, : width - n + 1] + log_b[:, n:] - whole, 700))
+                counts += np.bincount(pid.ravel(), weights=(a[:, : width - n + 1] * p[pid] * b[:, n:] * far * scale[:, None]).ravel(), minlength=self.size + 2)
+            lo = hi
         return counts
 
 
+def _within_range(sums: np.ndarray, logs: np.ndarray, columns: slice) -> None:
+    """Divides the columns that later ones build on by the largest of each row, and notes the logarithm."""
+    most = sums[:, columns].max(axis=1)
+    most[most == 0] = 1.0
+    sums[:, columns] /= most[:, None]
+    logs[:, columns] += np.log(most)[:, None]
+
+
 def fit(lattice: Lattice, words: list[str], times: np.ndarray, rounds: int = 4, smooth: float = 0.05) -> np.ndarray:
     """The probabilities of the pieces (and of an unknown character) in one language."""
     p = np.full(lattice.size + 2, 1.0 / (lattice.size + 1))
@@ -212,7 +234,6 @@ def train(docs: DataFrame, model_path: str, sample: int = 300, id_col: str = "do
     lattice, languages, fitted = Lattice(pieces), sorted(counts), []
     for lang in languages:
         of = got[got["lang"] == lang]
-        of = of[of["word"].str.len() <= FIT_LETTERS]
         words, times = [START + w for w in of["word"]], of["times"].to_numpy(float)
         fitted.append(fit(lattice, words or [START], times if words else np.ones(1)))
     return Model(languages, pieces, np.stack(fitted, axis=1))

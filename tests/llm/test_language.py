@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -89,3 +90,32 @@ def test_identified_rows_stay_and_get_a_language(spark):
     lang = {r.doc_id: r.lang for r in got.collect()}
     assert lang[100] == "en" and lang[None] == "fr" and lang[103] == "xx" and 101 not in lang and 102 not in lang
     assert language.keep_identified(df, model, least_score=1.0).count() == 0
+
+
+def test_expected_counts_of_words_of_any_length():
+    rnd = random.Random(7)
+    pieces = ["▁", "a", "b", "ab", "ba", "aab", "▁a", "bbbb"]
+    lattice = language.Lattice(pieces)
+    p = np.array([0.1, 0.2, 0.15, 0.1, 0.05, 0.1, 0.1, 0.1, 0.1, 0.0])
+
+    def plain(word):
+        """By sums over all beginnings and ends, without scaling."""
+        n = len(word)
+        a, b, ids = [1.0] + [0.0] * n, [0.0] * n + [1.0], {x: k for k, x in enumerate(pieces)}
+        steps = [(i, i + len(x), k) for i in range(n) for x, k in ids.items() if word.startswith(x, i)] + [(i, i + 1, len(pieces)) for i in range(n) if word[i] not in ids]
+        for i, j, k in sorted(steps):
+            a[j] += a[i] * p[k]
+        for i, j, k in sorted(steps, reverse=True):
+            b[i] += p[k] * b[j]
+        out = np.zeros(len(p))
+        for i, j, k in steps:
+            out[k] += a[i] * p[k] * b[j] / a[n]
+        return out
+
+    words = ["▁" + "".join(rnd.choices("abbx", k=rnd.choice([0, 1, 3, 9, 40, 41, 120]))) for _ in range(60)]
+    times = np.array([float(rnd.randrange(1, 9)) for _ in words])
+    want = sum(t * plain(w) for w, t in zip(words, times, strict=True))
+    assert np.allclose(lattice.expected(words, times, p), want, rtol=1e-9)
+    long = "▁" + "".join(rnd.choices("ab", k=30_000))
+    found = lattice.expected([long, "▁ab"], np.array([1.0, 2.0]), p)
+    assert np.isfinite(found).all() and abs(sum(c * len(x) for c, x in zip(found, pieces, strict=False)) - len(long) - 6) < 1e-3
