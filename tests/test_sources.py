@@ -2,6 +2,7 @@ import json
 
 import pytest
 from pyspark.sql import functions as F
+from test_documents import docx
 
 from tessera.operators import corpus as C
 from tessera.operators import query as Q
@@ -9,7 +10,6 @@ from tessera.operators import rules as R
 from tessera.operators import upsert as U
 from tessera.sources import documents as D
 from tessera.sources import lexicon as L
-from tests.test_documents import docx
 
 
 def test_uris_and_readers(spark, tmp_path):
