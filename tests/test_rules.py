@@ -22,3 +22,15 @@ def test_files_over_the_limit_have_an_error(spark, tmp_path, monkeypatch):
     (tmp_path / "b.docx").write_bytes(b"x" * 10)
     got = {r.path[-6:]: r for r in D.read_files(spark, str(tmp_path)).collect()}
     assert got["a.docx"].error and got["a.docx"].content is None and got["b.docx"].error is None and len(got["b.docx"].content) == 10
+
+
+def test_inference_leaves_reports_where_they_are(spark):
+    from tessera.operators import rules as R
+    from tessera.plans.rule_queries import _extraction, _tables
+    from tessera.plans.tables import grouped
+
+    orders, items = _tables(spark, "/root/testdata/sf0.001")
+    plan = R.inferred(_extraction(orders, items)).distinct()._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
+    kept = spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition")
+    assert grouped(spark).conf.get("spark.sql.shuffle.partitions") == "8" and spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == kept
