@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.plans.tables import checkpointed
 
+#: nodes that are sent to all others instead of being dealt with them
+FEW = 50_000
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id that each end of edges(a, b) reaches. Every round a node takes the least
@@ -30,19 +35,25 @@ def chains(links: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
 
     A node's place is its distance from the start of its chain, after which the chain is named; starts have the
     place 0. Of several sources of a node the least holds. Pointers double each round, so a chain of n nodes takes
-    log2(n) rounds; a node that still has somewhere to go when that many steps exceed the number of nodes is on a
-    cycle or behind one, and is told so, with neither chain nor place. nodes(node) adds nodes without links."""
+    log2(n) rounds. Those that have arrived are written once and only looked up from then on. After s steps, n nodes
+    that have not arrived are at most s + n - 1 steps from their start, as all of a chain's nodes from its s-th on are
+    among them: one that still has somewhere to go when that many steps are made is on a cycle or behind one, and is
+    told so, with neither chain nor place. nodes(node) adds nodes without links."""
     previous = links.where("source IS NOT NULL AND target IS NOT NULL").groupBy(F.col("target").alias("node")).agg(F.min("source").alias("to"))
     every = links.select(F.col("source").alias("node")).unionByName(links.select(F.col("target").alias("node")))
     every = (every.unionByName(nodes.select("node")) if nodes is not None else every).where("node IS NOT NULL").distinct()
     state = checkpointed(every.join(previous, "node", "left").select("node", F.coalesce("to", "node").alias("to"), F.when(F.col("to").isNull(), 0).otherwise(1).cast("bigint").alias("place"), F.col("to").isNull().alias("done")))
-    total, steps = state.count(), 1
-    while steps <= 2 * total and not state.where("NOT done").isEmpty():
-        # those that have arrived stay as they are and are not joined again
-        ahead = state.select(F.col("node").alias("to"), F.col("to").alias("_to"), F.col("place").alias("_place"), F.col("done").alias("_done"))
-        moved = state.where("NOT done").join(ahead, "to").select("node", F.col("_to").alias("to"), (F.col("place") + F.col("_place")).alias("place"), F.col("_done").alias("done"))
-        state = checkpointed(state.where("done").unionByName(moved))
-        steps *= 2
+    arrived, going = [state.where("done")], state.where("NOT done")
+    left, steps = going.count(), 1
+    most = steps + left
+    while left and steps < most:
+        ahead = reduce(DataFrame.unionByName, [*arrived, going]).select(F.col("node").alias("to"), F.col("to").alias("_to"), F.col("place").alias("_place"), F.col("done").alias("_done"))
+        few = F.broadcast if left <= FEW else lambda df: df  # counted
+        moved = checkpointed(few(going).join(ahead, "to").select("node", F.col("_to").alias("to"), (F.col("place") + F.col("_place")).alias("place"), F.col("_done").alias("done")))
+        arrived, going = [*arrived, moved.where("done")], moved.where("NOT done")
+        left, steps = going.count(), steps * 2
+        most = min(most, steps + left)
+    state = reduce(DataFrame.unionByName, [*arrived, going])
     return state.select("node", F.when(F.col("done"), F.col("to")).alias("chain"), F.when(F.col("done"), F.col("place")).alias("place"), (~F.col("done")).alias("cyclic"))
 
 

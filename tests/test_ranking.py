@@ -118,3 +118,12 @@ def test_components_and_chains(spark):
     assert all(got[k] == (None, None, True) for k in (1, 2, 3, 4)) and got[6] == (5, 1, False) and got[9] == (0, 1, False) and got[8] == (8, 0, False) and got[77] == (77, 0, False)
     moved = C.latest_keys(spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "c"), ("p", "q"), ("q", "p")], "old_key string, new_key string"))
     assert {tuple(r) for r in moved.collect()} == {("a", "c", 2), ("b", "c", 1), ("x", "c", 1), ("p", "p", None), ("q", "q", None)}
+
+
+def test_a_small_cycle_costs_no_rounds_of_all_nodes(spark, monkeypatch):
+    sizes, plain = [], C.checkpointed
+    monkeypatch.setattr(C, "checkpointed", lambda df: sizes.append((out := plain(df)).count()) or out)
+    links = [(4 * k + j, 4 * k + j + 1) for k in range(2000) for j in range(3)] + [(9000, 9001), (9001, 9002), (9002, 9000), (9002, 9003)]
+    got = {r.node: (r.chain, r.place, r.cyclic) for r in C.chains(spark.createDataFrame(links, "source int, target int")).collect()}
+    assert all(got[4 * k + j] == (4 * k, j, False) for k in range(2000) for j in range(4)) and all(got[k] == (None, None, True) for k in range(9000, 9004))
+    assert sizes[0] == len(got) and sum(sizes[1:]) < 1.5 * sizes[0] and len(sizes) <= 5, sizes
