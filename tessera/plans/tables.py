@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
@@ -67,6 +68,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df as a compressed table in the checkpoint folder: smaller than a checkpoint, which keeps whole rows as they
+    are in memory, and read by column."""
+    spark = df.sparkSession
+    _folder(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/tessera-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def all_checkpointed(frames: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """The frames from reliable checkpoints, written side by side."""
     if not frames:

@@ -127,3 +127,13 @@ def test_a_small_cycle_costs_no_rounds_of_all_nodes(spark, monkeypatch):
     got = {r.node: (r.chain, r.place, r.cyclic) for r in C.chains(spark.createDataFrame(links, "source int, target int")).collect()}
     assert all(got[4 * k + j] == (4 * k, j, False) for k in range(2000) for j in range(4)) and all(got[k] == (None, None, True) for k in range(9000, 9004))
     assert sizes[0] == len(got) and sum(sizes[1:]) < 1.5 * sizes[0] and len(sizes) <= 5, sizes
+
+
+def test_an_index_of_the_words_asked_for_weighs_as_the_whole(spark):
+    df = spark.createDataFrame(texts(random.Random(4), 300), "id int, text string")
+    asked = spark.createDataFrame([(0, "w1 w250 nothing"), (1, "w0 w0")], "query int, text string")
+    whole, part = R.text_index(df, size=20), R.text_index(df, size=20, asked=R.query_terms(asked))
+    wanted = whole.postings.where("term IN ('w0', 'w1', 'w250')")
+    rows = lambda x: sorted((r.term, r.block, r.id, r.weight) for r in x.collect())
+    assert rows(part.postings) == rows(wanted) and part.postings.count() < whole.postings.count() / 2
+    assert rows(R.search(part, asked).selectExpr("query AS term", "rank AS block", "id", "score AS weight")) == rows(R.search(whole, asked).selectExpr("query AS term", "rank AS block", "id", "score AS weight"))
