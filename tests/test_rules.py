@@ -34,3 +34,30 @@ def test_inference_leaves_reports_where_they_are(spark):
     assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
     kept = spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition")
     assert grouped(spark).conf.get("spark.sql.shuffle.partitions") == "8" and spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == kept
+
+
+def test_named_reports_are_dealt_once(spark):
+    """Tables that rules read often are kept as they are dealt: no shuffle for what is joined by report."""
+    from tessera.operators import enrich as E
+    from tessera.operators import keys as K
+    from tessera.plans.rule_queries import _named
+
+    x, _ = _named(spark, "/root/testdata/sf0.001")
+    x = E.completed(x)
+    first = K.synced(x, K.report_keys(x))[1]
+    plan = first._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Bucketed: true" in plan and "BroadcastHashJoin" not in plan
+    second = K.synced(K.synced(x, K.report_keys(x))[0], K.report_keys(x))[1]
+    assert second.isEmpty()  # why key_sync and enrich need not see unchanged tables again
+
+
+def test_native_forms_are_those_of_the_patterns(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.functions import text as T
+
+    c = F.expr("decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE')")
+    rows = spark.range(0xD800).unionByName(spark.range(0xE000, 0x10000)).select(F.concat(c, c, F.lit("Aé"), c, F.lit("b\n"), c).alias("s"))
+    was = F.regexp_replace(F.lower("s"), r"(?U)[\s\-_()（）,.，:：;；]+", "")
+    stripped = F.regexp_replace("s", r"(?U)^\s+|\s+$", "")
+    assert rows.where(~T.norm(F.col("s")).eqNullSafe(was) | ~T.strip(F.col("s")).eqNullSafe(stripped)).isEmpty()
