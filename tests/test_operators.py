@@ -155,3 +155,10 @@ def test_reconciled_chunks_of_short_texts(spark):
     m, c = K.reconciled(mentions, chunks)
     assert sorted(tuple(r) for r in m.collect()) == [("a", "R#1"), ("b", "R#2"), ("c", "U#3"), ("d", "U#4")]
     assert sorted(r.chunk_id for r in c.collect()) == ["R#1", "R#2", "U#3", "U#4"]
+
+
+def test_distinct_texts_of_the_prefix_join_are_made_once(spark):
+    from tessera.plans.text_queries import prefix_theta_join
+
+    plan = prefix_theta_join(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "min(doc_id" not in plan  # each branch reads the stored texts
