@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 
+#: keys of up to so many nodes are broadcast to edges
+FEW = 1000
+#: edges of a part in which they meet their ends
+PART_EDGES = 1_000_000
+
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep: tuple[str, ...] = ("created_at",)) -> DataFrame:
     """Rows of new overwrite what they carry: a null in new leaves the old value. `keep` columns take
@@ -82,11 +87,24 @@ def with_both_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with an end that is no node, and which end."""
-    n = nodes.select("label", "business_key").distinct()
-    a = n.select(F.col("label").alias("from_label"), F.col("business_key").alias("from_key"), F.lit(True).alias("_from"))
-    b = n.select(F.col("label").alias("to_label"), F.col("business_key").alias("to_key"), F.lit(True).alias("_to"))
-    met = edges.join(a, ["from_label", "from_key"], "left").join(b, ["to_label", "to_key"], "left")
-    return met.withColumn("missing_from", F.col("_from").isNull()).withColumn("missing_to", F.col("_to").isNull()).where("missing_from OR missing_to").drop("_from", "_to")
+    return without_ends(edges, *(nodes.select(F.col("label").alias(f"{side}_label"), F.col("business_key").alias(f"{side}_key")) for side in ("from", "to")))
+
+
+def without_ends(edges: DataFrame, starts: DataFrame, ends: DataFrame) -> DataFrame:
+    """Edges with an end that is not there, and which: starts and ends hold the keys that are, under the names of the
+    edges' columns. Edges are dealt once for each end, at every size, so that what is shuffled grows with the rows;
+    Spark would choose by the size of compressed files, which says little of the keys in them. The number of parts
+    grows with the edges, which are counted first, so that a part is sorted in memory. Up to FEW keys are broadcast."""
+    spark = edges.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-edges.count() // PART_EDGES))
+    for keys, mark in ((starts, "missing_from"), (ends, "missing_to")):
+        on, there = keys.columns, F.lit(True).alias("_there")
+        if keys.limit(FEW + 1).count() <= FEW:
+            met = edges.join(F.broadcast(keys.distinct().select("*", there)), on, "left")
+        else:
+            met = edges.repartition(parts, *on).join(keys.repartition(parts, *on).distinct().select("*", there).hint("merge"), on, "left")
+        edges = met.withColumn(mark, F.col("_there").isNull()).drop("_there")
+    return edges.where("missing_from OR missing_to")
 
 
 def replace_children(old: DataFrame, new: DataFrame, parent: str, unique: list[str]) -> DataFrame:

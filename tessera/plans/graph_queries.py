@@ -9,7 +9,7 @@ from tessera.operators import upsert as U
 from tessera.operators.rules import remap_edges
 from tessera.plans.catalog import ORACLE, QUERIES, query
 from tessera.plans.tables import load
-from tessera.sources.projection import duckdb_graph, graph
+from tessera.sources.projection import dangling, duckdb_graph, graph
 
 G = "WITH RECURSIVE " + duckdb_graph()
 CENTRE = ("Customer", "C1")
@@ -91,9 +91,8 @@ def explorer_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 e AS (SELECT e.*, a.label IS NULL AS missing_from, b.label IS NULL AS missing_to FROM edges e LEFT JOIN kept a ON a.label = from_label AND a.business_key = from_key LEFT JOIN kept b ON b.label = to_label AND b.business_key = to_key)
 SELECT from_key, rel_type, to_key, missing_from, missing_to FROM e WHERE missing_from OR missing_to""")
 def dangling_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = graph(spark, sf_dir)
-    kept = g.nodes.where((F.col("label") != "Part") | (F.try_element_at("props", F.lit("p_size")).cast("int") <= 40))
-    return U.dangling(g.edges, kept).select("from_key", "rel_type", "to_key", "missing_from", "missing_to")
+    kept = {"Part": F.coalesce(F.col("p_size") <= 40, F.lit(True))}
+    return dangling(spark, sf_dir, kept).select("from_key", "rel_type", "to_key", "missing_from", "missing_to")
 
 
 @query(f"{G}, gone AS (SELECT label, business_key FROM nodes WHERE label = 'Order' AND title = 'F') SELECT rel_type, count(*) AS edges FROM edges WHERE (from_label, from_key) NOT IN (SELECT (label, business_key) FROM gone) AND (to_label, to_key) NOT IN (SELECT (label, business_key) FROM gone) GROUP BY rel_type")

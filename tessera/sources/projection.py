@@ -5,10 +5,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.graph import PropertyGraph
+from tessera.operators.upsert import without_ends
 from tessera.plans.tables import load
 
 EPOCH = "2000-01-01 00:00:00"
@@ -70,6 +71,28 @@ def graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     return PropertyGraph(nodes(spark, sf_dir), edges(spark, sf_dir))
 
 
+def dangling(spark: SparkSession, sf_dir: str, kept: dict[str, Column]) -> DataFrame:
+    """(from_label, from_key, rel_type, to_label, to_key, missing_from, missing_to): edges with an end that has no row,
+    or none for which its label's condition in `kept` holds, and which end. Ends are looked up by the tables' own keys,
+    before pairs are made distinct and keys become texts: rows of two numbers are dealt, and of pairs that occur more
+    than once only the dangling ones are compared, where the last lookup has dealt them."""
+
+    def there(label: str, column: str) -> DataFrame:
+        table, _, key, _ = LABELS[label]
+        df = load(spark, sf_dir, table)
+        return (df.where(kept[label]) if label in kept else df).select(F.col(key).alias(column))
+
+    def one(table, start, kind, end, distinct, _) -> DataFrame:
+        pairs = load(spark, sf_dir, table).select(F.col(start[1]).alias("from_key"), F.col(end[1]).alias("to_key"))
+        met = without_ends(pairs, there(start[0], "from_key"), there(end[0], "to_key"))
+        return (met.distinct() if distinct else met).select(
+            F.lit(start[0]).alias("from_label"), _key(start[0], "from_key").alias("from_key"), F.lit(kind).alias("rel_type"),
+            F.lit(end[0]).alias("to_label"), _key(end[0], "to_key").alias("to_key"), "missing_from", "missing_to",
+        )
+
+    return reduce(DataFrame.unionByName, (one(*r) for r in RELATIONS))
+
+
 def duckdb_graph() -> str:
     """The same nodes and edges as SQL common table expressions."""
     n = " UNION ALL ".join(f"SELECT '{label}' AS label, '{p}' || {k} AS business_key, {t} AS title, TIMESTAMP '{EPOCH}' AS created_at, {'o_orderdate' if table == 'orders' else 'NULL'}::TIMESTAMP AS updated_at FROM {table}" for label, (table, p, k, t) in LABELS.items())

@@ -1,5 +1,6 @@
 """Writers, runs and summaries on small tables: the cases that the registered queries do not hold."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +8,7 @@ from tessera.functions import text as T
 from tessera.operators import graph as G
 from tessera.operators import runs as R
 from tessera.operators import upsert as U
+from tessera.plans import catalog
 
 
 def test_file_names_and_locations(spark):
@@ -57,3 +59,56 @@ def test_large_frontiers_are_joined(spark, monkeypatch):
         assert {(r.business_key, r.distance) for r in G.PropertyGraph(nodes, edges).neighbourhood("A", "0", 3).collect()} == want
     with pytest.raises(ValueError):
         G.PropertyGraph(nodes, edges).without_around(nodes)
+
+
+def _shuffled(spark):
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty()
+    executors = context.statusStore().executorList(False)
+    return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+
+def test_dangling_edges_shuffle_the_same_few_bytes_at_every_size(spark):
+    """A broadcast that ends at some size makes what is shuffled jump there; pairs of numbers take few bytes."""
+    usual, took = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), []
+    try:
+        for most in ("10m", "-1"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+            before = _shuffled(spark)
+            catalog.QUERIES["dangling_edges"](spark, "/root/testdata/sf0.01").write.format("noop").mode("overwrite").save()
+            took.append(_shuffled(spark) - before)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+    assert took[1] < 1.1 * took[0]
+    assert took[1] < 45 * spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet").count()
+
+
+@pytest.mark.parametrize("few, part", [(1000, 1_000_000), (0, 500)])
+def test_dangling_edges_of_tables_with_gaps(spark, tmp_path, monkeypatch, few, part):
+    """Orders and parts that are not there, sizes and keys that are null, rows that come twice."""
+    monkeypatch.setattr(U, "FEW", few)
+    monkeypatch.setattr(U, "PART_EDGES", part)
+    con, sf = duckdb.connect(), "/root/testdata/sf0.001"
+    change = {
+        "part": "SELECT * REPLACE (CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_size END AS p_size) FROM t WHERE p_partkey % 11 <> 3",
+        "orders": "SELECT * REPLACE (CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE o_custkey END AS o_custkey) FROM t WHERE o_orderkey % 13 <> 5",
+        "lineitem": "SELECT * REPLACE (CASE WHEN l_orderkey % 17 = 0 THEN NULL ELSE l_partkey END AS l_partkey) FROM t UNION ALL SELECT * FROM t WHERE l_orderkey % 5 = 0",
+        "supplier": "SELECT * FROM t WHERE s_suppkey <> 4",
+    }
+    for name in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"):
+        con.execute(f"COPY (WITH t AS (SELECT * FROM '{sf}/{name}.parquet') {change.get(name, 'SELECT * FROM t')}) TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    columns = ["from_key", "rel_type", "to_key", "missing_from", "missing_to"]
+    want = con.execute(f"SELECT {', '.join(columns)} FROM ({catalog.ORACLE['dangling_edges']})").fetchall()
+    got = catalog.QUERIES["dangling_edges"](spark, str(tmp_path)).select(columns).collect()
+    assert {(r[-2], r[-1]) for r in want} == {(True, False), (False, True), (True, True)}
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("few", [1000, 0])
+def test_dangling(spark, monkeypatch, few):
+    monkeypatch.setattr(U, "FEW", few)
+    nodes = spark.createDataFrame([("A", "1"), ("A", "1"), ("B", "2"), ("A", None)], "label string, business_key string")
+    edges = spark.createDataFrame([("A", "1", "R", "B", "2"), ("A", "1", "R", "A", "2"), ("B", "1", "R", "B", "2"), ("A", None, "R", "B", None), ("A", "1", "R", "A", "2")], "from_label string, from_key string, rel_type string, to_label string, to_key string")
+    got = sorted(((r.from_label, r.from_key, r.to_label, r.to_key, r.missing_from, r.missing_to) for r in U.dangling(edges, nodes).collect()), key=str)
+    assert got == [("A", "1", "A", "2", False, True), ("A", "1", "A", "2", False, True), ("A", None, "B", None, True, True), ("B", "1", "B", "2", True, False)]
