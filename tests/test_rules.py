@@ -61,3 +61,9 @@ def test_native_forms_are_those_of_the_patterns(spark):
     was = F.regexp_replace(F.lower("s"), r"(?U)[\s\-_()（）,.，:：;；]+", "")
     stripped = F.regexp_replace("s", r"(?U)^\s+|\s+$", "")
     assert rows.where(~T.norm(F.col("s")).eqNullSafe(was) | ~T.strip(F.col("s")).eqNullSafe(stripped)).isEmpty()
+
+
+def test_long_methods_are_left_to_plain_projections(spark):
+    from tessera.plans.tables import grouped
+
+    assert grouped(spark).conf.get("spark.sql.codegen.hugeMethodLimit") == "8000", "longer methods are never compiled by the JVM"
